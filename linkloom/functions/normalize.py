@@ -59,43 +59,56 @@ def ipv4(raw: Column) -> Column:
     return _null_if_empty(F.regexp_extract(clean_text(raw), V.IPV4_RE, 0))
 
 
-def _ipv6(text: Column) -> Column:
-    """Compressed lower-case form of an IPv6 text, null if it is not one."""
-    # A dotted-quad tail becomes two hexadecimal groups.
-    quad = F.split(F.regexp_extract(text, rf"^[0-9A-Fa-f:]*:({V._OCTET}(?:\.{V._OCTET}){{3}})$", 1),
-                   r"\.")
-    pair = [F.lower(F.hex(F.try_element_at(quad, F.lit(i)).try_cast("int") * 256
-                          + F.try_element_at(quad, F.lit(i + 1)).try_cast("int")))
-            for i in (1, 3)]
-    hexed = F.when(F.size(quad) == 4,
-                   F.concat(F.regexp_extract(text, r"^(.*:)", 1), pair[0], F.lit(":"), pair[1])
-                   ).otherwise(text)
+def _let(value: Column, body) -> Column:
+    """Bind ``value`` once for use in several places of ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _quad_tail_to_hex(text: Column) -> Column:
+    """Dotted-quad tail of an IPv6 text as two hexadecimal groups."""
+    found = F.regexp_extract(text, rf"^[0-9a-f:]*:({V._OCTET}(?:\.{V._OCTET}){{3}})$", 1)
+
+    def rebuilt(quad: Column) -> Column:
+        def pair(i: int) -> Column:
+            return F.lower(F.hex(F.element_at(quad, i).cast("int") * 256
+                                 + F.element_at(quad, i + 1).cast("int")))
 
+        return F.when(F.size(quad) == 4, F.concat(
+            F.regexp_extract(text, "^(.*:)", 1), pair(1), F.lit(":"), pair(3))).otherwise(text)
+
+    return _let(F.split(found, r"\."), rebuilt)
+
+
+def _ipv6(raw_text: Column) -> Column:
+    """Compressed lower-case form of an IPv6 text, null if it is not one."""
     group = "[0-9a-f]{1,4}"
     side = f"(?:{group}(?::{group})*)?"
-    halves = F.split(hexed, "::")
 
     def groups(half: Column) -> Column:
-        return F.filter(F.split(F.lower(half), ":"), lambda g: g != "")
-
-    left = groups(F.element_at(halves, 1))
-    right = F.when(F.size(halves) == 2, groups(F.element_at(halves, -1)))
-    given = F.size(left) + F.coalesce(F.size(right), F.lit(0))
-    full = F.when(right.isNull(), left).otherwise(
-        F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0))), right))
-    ok = F.lower(hexed).rlike(f"^{side}(?:::{side})?$") & F.when(
-        right.isNull(), given == 8).otherwise(given <= 7)
-    flat = F.array_join(
-        F.transform(full, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
-
-    # The longest run of two or more zero groups, leftmost first, collapses to '::'.
-    out = flat
-    for run in range(2, 9):
-        pattern = rf"^((?:[0-9a-f]+:)*?)0(?::0){{{run - 1}}}((?::[0-9a-f]+)*)$"
-        out = F.when(flat.rlike(pattern), F.concat(
-            F.regexp_replace(F.regexp_extract(flat, pattern, 1), ":$", ""), F.lit("::"),
-            F.regexp_replace(F.regexp_extract(flat, pattern, 2), "^:", ""))).otherwise(out)
-    return F.when(ok, out)
+        return F.filter(F.split(half, ":"), lambda g: g != "")
+
+    def expanded(halves: Column) -> Column:
+        """All eight groups, with the '::' gap filled; null when the count cannot be eight."""
+        def joined(sides: Column) -> Column:
+            gap = 8 - F.size(sides["l"]) - F.size(sides["r"])
+            filled = F.concat(sides["l"], F.array_repeat(F.lit("0"), gap), sides["r"])
+            return F.when(F.when(F.size(halves) == 2, gap >= 1).otherwise(gap == 0), filled)
+
+        right = F.when(F.size(halves) == 2, groups(F.element_at(halves, -1))).otherwise(
+            F.array().cast("array<string>"))
+        return _let(F.struct(groups(F.element_at(halves, 1)).alias("l"), right.alias("r")), joined)
+
+    def canonical(text: Column) -> Column:
+        out = F.array_join(F.transform(
+            expanded(F.split(text, "::")), lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+        # The longest run of zero groups, leftmost first, collapses; later steps then see '::'.
+        for run in range(8, 1, -1):
+            out = F.regexp_replace(
+                out, rf"^(?!.*::)((?:[0-9a-f]+:)*?)0(?::0){{{run - 1}}}((?::[0-9a-f]+)*)$",
+                "$1::$2")
+        return F.when(text.rlike(f"^{side}(?:::{side})?$"), F.regexp_replace(out, ":{3,}", "::"))
+
+    return _let(_quad_tail_to_hex(F.lower(raw_text)), canonical)
 
 
 def ip(raw: Column) -> Column:
