@@ -14,14 +14,16 @@ from linkloom import vocab as V
 _BLANKS = " \t\n\r\x0b\x0c"
 
 
-def _null_if_empty(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+def first_match(text: Column, pattern: str) -> Column:
+    """First match of ``pattern``, null without one; evaluates ``text`` once."""
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lit(1))
 
 
 def clean_text(raw: Column) -> Column:
     """Trimmed text, '' for null, whole numbers without a trailing ``.0``."""
     trimmed = F.btrim(F.coalesce(raw.cast("string"), F.lit("")), F.lit(_BLANKS))
-    return F.regexp_replace(trimmed, r"^([0-9]+)\.0$", "$1")
+    return F.when(trimmed.endswith(".0"), F.regexp_replace(trimmed, r"^([0-9]+)\.0$", "$1")
+                  ).otherwise(trimmed)
 
 
 def blank_na(cell: Column) -> Column:
@@ -35,28 +37,27 @@ def phone(raw: Column, strict: bool = False) -> Column:
     c = F.regexp_replace(c, r"(?s)^(91.{10})$", "+$1")
     c = F.regexp_replace(c, r"(?s)^([6-9].{9})$", "+91$1")
     c = F.regexp_replace(c, r"(?s)^([2-5].{9})$", "+1$1")
-    c = F.regexp_extract(c, r"^(?:[^0-9]*[0-9]){7,15}[^0-9]*$", 0)
+    c = first_match(c, r"^(?:[^0-9]*[0-9]){7,15}[^0-9]*$")
     if strict:
-        c = F.regexp_extract(c, r"^\+?[0-9]+$", 0)
-    return _null_if_empty(F.regexp_replace(c, r"(?s)^([^+])", "+$1"))
+        c = first_match(c, r"^\+?[0-9]+$")
+    return F.regexp_replace(c, r"(?s)^([^+])", "+$1")
 
 
 def email(raw: Column) -> Column:
-    return _null_if_empty(F.lower(F.regexp_extract(clean_text(raw), V.EMAIL_RE, 0)))
+    return F.lower(first_match(clean_text(raw), V.EMAIL_RE))
 
 
 def imei(raw: Column) -> Column:
     digits = F.regexp_replace(clean_text(raw), r"[^0-9]", "")
-    return _null_if_empty(F.regexp_extract(digits, r"^[0-9]{14,16}$", 0))
+    return first_match(digits, r"^[0-9]{14,16}$")
 
 
 def mac(raw: Column) -> Column:
-    found = F.regexp_extract(clean_text(raw), V.MAC_RE, 0)
-    return _null_if_empty(F.upper(F.translate(found, "-", ":")))
+    return F.upper(F.translate(first_match(clean_text(raw), V.MAC_RE), "-", ":"))
 
 
 def ipv4(raw: Column) -> Column:
-    return _null_if_empty(F.regexp_extract(clean_text(raw), V.IPV4_RE, 0))
+    return first_match(clean_text(raw), V.IPV4_RE)
 
 
 def _let(value: Column, body) -> Column:
@@ -120,8 +121,7 @@ def ip(raw: Column) -> Column:
 def account(raw: Column) -> Column:
     text = clean_text(raw)
     plain = F.upper(F.regexp_replace(text, r"[\s\-]", ""))
-    return F.when(text.contains("@"), F.lower(text)).otherwise(
-        _null_if_empty(F.regexp_extract(plain, r"(?s)^.{4,}$", 0)))
+    return F.when(text.contains("@"), F.lower(text)).otherwise(first_match(plain, r"(?s)^.{4,}$"))
 
 
 def phone_of_handle(handle: Column, strict: bool = False) -> Column:
@@ -141,38 +141,43 @@ def event_time(raw: Column) -> Column:
     A zone suffix is dropped, not applied; day and month are read month first unless that is
     impossible; all-digit text is epoch seconds, or milliseconds above 10^12.
     """
-    text = clean_text(raw)
-    number = F.regexp_extract(text, r"^[0-9]{1,17}$", 0).try_cast("long")
-    epoch_us = F.when(number > 1_000_000_000_000, number * 1000).otherwise(number * 1_000_000)
-    from_epoch = F.timestamp_add(
-        "MICROSECOND", epoch_us, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-
-    bare = F.regexp_replace(text, r"(?i)(?<=[0-9])\s*(?:Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2})$", "")
-    bare = F.when(text.rlike(r"[0-9]:[0-9]"), bare).otherwise(text)
     clock = r"(?:[T ]+([0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?))?[0-9]*$"
+    ymd = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})" + clock
+    xxy = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})" + clock
+    zone = r"(?i)(?<=[0-9])\s*(?:Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2})$"
+    named = ("d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy", "MMM d, yyyy HH:mm:ss",
+             "MMM d, yyyy", "d-MMM-yyyy HH:mm:ss", "d-MMM-yyyy")
 
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(bare, pattern, group)
+    def from_epoch(number: Column) -> Column:
+        us = F.when(number > 1_000_000_000_000, number * 1000).otherwise(number * 1_000_000)
+        return F.timestamp_add(
+            "MICROSECOND", us, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
     def compose(y: Column, m: Column, d: Column, time: Column) -> Column:
         stamp = F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
-        hms = F.when(time == "", F.lit("00:00:00")).otherwise(time)
+        hms = F.coalesce(F.nullif(time, F.lit("")), F.lit("00:00:00"))
         return F.concat_ws(" ", stamp, hms).try_cast("timestamp_ntz")
 
-    ymd = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})" + clock
-    xxy = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})" + clock
-    first, second = part(xxy, 1), part(xxy, 2)
-    day_first = first.try_cast("int") > 12
-    named = [
-        F.try_to_timestamp(
-            F.regexp_replace(bare, r"^[A-Za-z]{3,9},\s*", ""), F.lit(fmt)).cast("timestamp_ntz")
-        for fmt in ("d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy",
-                    "MMM d, yyyy HH:mm:ss", "MMM d, yyyy", "d-MMM-yyyy HH:mm:ss", "d-MMM-yyyy")
-    ]
-    return F.coalesce(
-        from_epoch,
-        F.when(bare.rlike(ymd), compose(part(ymd, 1), part(ymd, 2), part(ymd, 3), part(ymd, 4))),
-        F.when(bare.rlike(xxy), compose(
-            part(xxy, 3), F.when(day_first, second).otherwise(first),
-            F.when(day_first, first).otherwise(second), part(xxy, 4))),
-        F.when(bare.rlike("[A-Za-z]{3}"), F.coalesce(*named)))
+    def of_text(t: Column) -> Column:
+        def part(pattern: str, group: int) -> Column:
+            return F.regexp_extract(t, pattern, group)
+
+        def month_first(pair: Column) -> Column:
+            swap = pair["a"].cast("int") > 12
+            return compose(part(xxy, 3), F.when(swap, pair["b"]).otherwise(pair["a"]),
+                           F.when(swap, pair["a"]).otherwise(pair["b"]), part(xxy, 4))
+
+        def by_name(bare: Column) -> Column:
+            return F.coalesce(*[
+                F.try_to_timestamp(bare, F.lit(f)).cast("timestamp_ntz") for f in named])
+
+        return (F.when(t.rlike("^[0-9]{1,17}$"), from_epoch(t.cast("long")))
+                .when(t.rlike(ymd), compose(part(ymd, 1), part(ymd, 2), part(ymd, 3), part(ymd, 4)))
+                .when(t.rlike(xxy), _let(F.struct(part(xxy, 1).alias("a"), part(xxy, 2).alias("b")),
+                                         month_first))
+                .when(t.rlike("[A-Za-z]{3}"), _let(
+                    F.regexp_replace(t, r"^[A-Za-z]{3,9},\s*", ""), by_name)))
+
+    # Only a text with a clock time can carry a zone.
+    return _let(clean_text(raw), lambda text: _let(
+        F.when(text.rlike("[0-9]:[0-9]"), F.regexp_replace(text, zone, "")).otherwise(text), of_text))

@@ -95,7 +95,8 @@ def resolve_links(links: DataFrame, entities: DataFrame, stored: DataFrame | Non
     new = cut(new)
     numbered = _next_ids(
         new, stored, "link_id", _arrival_buckets("arrival"),
-        [F.col("arrival"), F.col("entity_a_id"), F.col("entity_b_id"), F.col("link_type")])
+        [F.col("arrival.evidence_file_id"), F.col("arrival.rec_no"), F.col("arrival.pos"),
+         F.col("entity_a_id"), F.col("entity_b_id"), F.col("link_type")])
     return cut(numbered.select(
         "case_id", "link_id", "entity_a_id", "entity_b_id", "link_type", "confidence_score",
         "source_evidence_file_id"))

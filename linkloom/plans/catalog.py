@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from linkloom.operators import brief as BR
 from linkloom.operators import cases as CS
 from linkloom.operators import checks, clusters, custody, graph, paths, records, resolve, risk
 from linkloom.plans import bindings as B
-from linkloom.runtime import cut, micros
+from linkloom.runtime import cut, micros, scratch_root
+from linkloom.sources import device_log, mail, tabular
+from linkloom.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -26,8 +29,8 @@ def query(fn):
 
 # --- shared stages ----------------------------------------------------------
 
-def call_tables(spark, sf, case_format="yyyyMMddHH", scope="case"):
-    return resolve.resolve(records.call_evidence(B.calls(spark, sf, case_format)), scope)
+def call_tables(spark, sf, hourly=True, scope="case"):
+    return resolve.resolve(records.call_evidence(B.calls(spark, sf, hourly)), scope)
 
 
 def ledger_tables(spark, sf):
@@ -290,7 +293,7 @@ def graph_edges_stored_scores(spark, sf):
 @query
 def graph_edges_corroborated(spark, sf):
     """Daily cases with one link per evidence file, so repeated weak links compound."""
-    nodes, edges, _ = _graph(call_tables(spark, sf, "yyyyMMdd", "evidence"))
+    nodes, edges, _ = _graph(call_tables(spark, sf, False, "evidence"))
     return _edge_rows(edges)
 
 
@@ -356,13 +359,13 @@ def risk_velocity_windowed(spark, sf):
 
 @query
 def risk_sim_switch(spark, sf):
-    entities, links = call_tables(spark, sf, "yyyyMMdd")
+    entities, links = call_tables(spark, sf, False)
     return risk.sim_switch(graph.nodes_of(entities), links, window_hours=6)
 
 
 @query
 def risk_sim_switch_windowed(spark, sf):
-    entities, links = call_tables(spark, sf, "yyyyMMdd")
+    entities, links = call_tables(spark, sf, False)
     return risk.sim_switch(graph.nodes_of(entities), links, "windowed", window_hours=6)
 
 
@@ -502,7 +505,7 @@ def custody_heads(spark, sf):
 # --- reports -----------------------------------------------------------------------
 
 def _cases(spark, sf):
-    month = F.date_format("o_orderdate", "yyyyMM").cast("long")
+    month = (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("long")
     orders = B.table(spark, sf, "orders").select("o_orderkey", "o_custkey", month.alias("m"))
     customer = B.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     files = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
@@ -548,13 +551,13 @@ def _brief_inputs(spark, sf):
 @query
 def brief_digest(spark, sf):
     d = BR.digest(*_brief_inputs(spark, sf))
-    first = F.element_at("entities", 1)
+    first = F.get("entities", F.lit(0))
     return d.select(
         "case_id", F.size("entities").alias("shown_entities"), F.size("clusters").alias("shown_clusters"),
         "more_entities", "more_clusters", "custody_status", "head_hash_shown",
         first["identifier"].alias("first_identifier"), first["score"].alias("first_score"),
         first["severity"].alias("first_severity"),
-        F.element_at("clusters", 1)["node_count"].alias("largest_cluster"))
+        F.get("clusters", F.lit(0))["node_count"].alias("largest_cluster"))
 
 
 @query
@@ -601,3 +604,112 @@ def integrity_violations(spark, sf):
         "confidence_score", F.when(k % 5 == 1, F.col("confidence_score") + 1)
         .otherwise(F.col("confidence_score")))
     return checks.violations(entities, bad)
+
+
+# --- evidence files built from the tables ---------------------------------------------
+
+@query
+def csv_call_rows(spark, sf):
+    lines = B.call_files(spark, sf)
+    headers = tabular.headers_of(lines, V.CALL_ALIASES, V.CALL_REQUIRED)
+    rows = tabular.call_rows(tabular.rows_of(lines, headers, list(V.CALL_ALIASES)))
+    return rows.select("case_id", "evidence_file_id", "row_ref", "caller", "callee", "imei", "ip",
+                       micros(F.col("event_ts")).alias("event_us"), "n_cells", "skipped_reason")
+
+
+@query
+def csv_ledger_rows(spark, sf):
+    lines = B.ledger_files(spark, sf)
+    headers = tabular.headers_of(lines, V.LEDGER_ALIASES, V.LEDGER_REQUIRED)
+    rows = tabular.ledger_rows(tabular.rows_of(lines, headers, list(V.LEDGER_ALIASES)))
+    return rows.select("evidence_file_id", "row_no", "sender", "receiver", "upi", "amount",
+                       micros(F.col("event_ts")).alias("event_us"), "skipped_reason")
+
+
+@query
+def csv_rejections(spark, sf):
+    lines = B.ledger_files(spark, sf)
+    headers = cut(tabular.headers_of(lines, V.LEDGER_ALIASES, V.LEDGER_REQUIRED))
+    rows = tabular.ledger_rows(tabular.rows_of(lines, headers, list(V.LEDGER_ALIASES)))
+    files = B.table(spark, sf, "customer").select(
+        F.lit(1).cast("long").alias("case_id"), F.col("c_custkey").alias("evidence_file_id"))
+    return tabular.rejected(files, headers, rows)
+
+
+@query
+def csv_ingestion_summary(spark, sf):
+    lines = B.call_files(spark, sf)
+    headers = cut(tabular.headers_of(lines, V.CALL_ALIASES, V.CALL_REQUIRED))
+    rows = cut(tabular.call_rows(tabular.rows_of(lines, headers, list(V.CALL_ALIASES))))
+    files = lines.filter("line_no = 0").select("case_id", "evidence_file_id")
+    entities, links = resolve.resolve(records.call_evidence(rows))
+    return resolve.ingestion_summary(files, rows, entities, links)
+
+
+@query
+def mail_messages(spark, sf):
+    read = mail.messages(B.mails(spark, sf))
+    return read.select("case_id", "evidence_file_id", "sender",
+                       F.array_join("recipients", ",").alias("recipients"),
+                       F.array_join("hops", ",").alias("hops"), "row_ref",
+                       micros(F.col("event_ts")).alias("event_us"), "error_class")
+
+
+@query
+def mail_links(spark, sf):
+    entities, links = resolve.resolve(records.mail_evidence(mail.messages(B.mails(spark, sf))))
+    names = entities.select("case_id", "entity_id", "value")
+    return links.join(names.toDF("case_id", "entity_a_id", "a"), ["case_id", "entity_a_id"]).join(
+        names.toDF("case_id", "entity_b_id", "b"), ["case_id", "entity_b_id"]).select(
+        "case_id", "entity_a_id", "entity_b_id", "a", "b", "link_type", "confidence_score")
+
+
+@query
+def json_identifiers(spark, sf):
+    docs = B.json_dumps(spark, sf).withColumn("json", device_log.is_json(F.col("text")))
+    return device_log.distinct_identifiers(device_log.json_identifiers(docs.filter("json")))
+
+
+@query
+def json_packages(spark, sf):
+    found = device_log.json_identifiers(B.json_dumps(spark, sf))
+    return device_log.json_outcomes(found).join(device_log.packages(found), device_log.KEYS)
+
+
+@query
+def extract_identifiers(spark, sf):
+    return device_log.distinct_identifiers(device_log.line_identifiers(
+        device_log.text_lines(B.text_dumps(spark, sf))))
+
+
+@query
+def log_line_outcomes(spark, sf):
+    return device_log.line_outcomes(device_log.line_identifiers(
+        device_log.text_lines(B.text_dumps(spark, sf))))
+
+
+@query
+def device_cross_links(spark, sf):
+    """Pairs of identifiers that occur in one JSON dump, per hourly case."""
+    found = device_log.distinct_identifiers(device_log.json_identifiers(B.json_dumps(spark, sf)))
+    return resolve.resolve(records.device_evidence(cut(found)))[1]
+
+
+@query
+def device_cross_links_text(spark, sf):
+    found = device_log.distinct_identifiers(device_log.line_identifiers(
+        device_log.text_lines(B.text_dumps(spark, sf))))
+    return resolve.resolve(records.device_evidence(cut(found)))[1]
+
+
+@query
+def stream_calls(spark, sf):
+    """The event table as a stream of call records resolved into a store."""
+    root = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+    store = ingest.Store(spark, f"{root}/store")
+    schema = B.table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    ingest.stream_records(
+        stream, lambda b: records.call_evidence(B.calls(b.sparkSession, sf, events=b)), store,
+        f"{root}/checkpoint").awaitTermination()
+    return _entity_rows(store.read(spark, "entity"))

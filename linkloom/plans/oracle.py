@@ -582,3 +582,119 @@ ORACLE["integrity_violations"] = _with(_calls(), _ENT, _link()) + """
 SELECT case_id, 'link_endpoint_b_missing' AS violation, count(*) AS n FROM link WHERE lid % 7 = 3
 GROUP BY case_id
 UNION ALL SELECT case_id, 'confidence_out_of_range', count(*) FROM link WHERE lid % 5 = 1 GROUP BY case_id"""
+
+
+# --- evidence files built from the tables -------------------------------------------------
+
+ORACLE["csv_call_rows"] = _with(_calls()) + """
+SELECT case_id, file AS evidence_file_id, 'row_' || (rec + 1) AS row_ref,
+  CASE WHEN ok THEN caller END AS caller, CASE WHEN ok THEN callee END AS callee,
+  CASE WHEN ok THEN imei END AS imei, CASE WHEN ok THEN ip END AS ip,
+  epoch_us(date_trunc('second', ts)) AS event_us, 6 AS n_cells,
+  CASE WHEN NOT ok THEN 'Row ' || (rec + 1) || ' skipped: no valid phone, IMEI, or IP found.' END
+    AS skipped_reason
+FROM (SELECT *, file % 10 <> 2 AS ok FROM r)"""
+
+ORACLE["csv_ledger_rows"] = """
+SELECT o_custkey AS evidence_file_id, o_orderkey + 1 AS row_no,
+  CASE WHEN ok THEN 'ACC' || o_custkey END AS sender,
+  CASE WHEN ok AND length('BR' || (o_orderkey % 1000)) >= 4 THEN 'BR' || (o_orderkey % 1000) END AS receiver,
+  CASE WHEN ok THEN 'u' || o_custkey || '@bank' END AS upi, round(o_totalprice, 2) AS amount,
+  epoch_us(CASE WHEN day(o_orderdate) <= 12
+    THEN make_timestamp(year(o_orderdate), day(o_orderdate), month(o_orderdate), 0, 0, 0)
+    ELSE o_orderdate END) AS event_us,
+  CASE WHEN NOT ok THEN 'Row ' || (o_orderkey + 1) || ' skipped: missing valid sender, receiver, or UPI.' END
+    AS skipped_reason
+FROM (SELECT *, o_custkey % 5 <> 0 AS ok FROM orders WHERE o_custkey % 7 <> 0)"""
+
+ORACLE["csv_rejections"] = """
+SELECT 1::BIGINT AS case_id, c_custkey AS evidence_file_id,
+  CASE WHEN c_custkey % 7 = 0 OR o_custkey IS NULL THEN 'EmptyFileError' ELSE 'MissingColumnError' END
+    AS error_class
+FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) ON o_custkey = c_custkey
+WHERE c_custkey % 7 = 0 OR c_custkey % 5 = 0 OR o_custkey IS NULL"""
+
+_NAMED = _calls().replace("FROM r)", "FROM r WHERE file % 10 <> 2)").replace(
+    "FROM r\n", "FROM r WHERE file % 10 <> 2\n")
+ORACLE["csv_ingestion_summary"] = _with(_NAMED, _ENT, _link()) + """
+SELECT f.case_id, f.file AS evidence_file_id,
+  CASE WHEN f.file % 10 <> 2 THEN n ELSE 0 END AS rows_processed,
+  CASE WHEN f.file % 10 = 2 THEN n ELSE 0 END AS rows_skipped,
+  (SELECT count(*) FROM ent WHERE arr[1] = f.file AND ent.case_id = f.case_id) AS entities_created,
+  (SELECT count(*) FROM link WHERE src_file = f.file AND link.case_id = f.case_id) AS links_created
+FROM (SELECT case_id, file, count(*) AS n FROM r GROUP BY ALL) f"""
+
+_MAILS = """
+ml AS (SELECT conv_id AS case_id, conv_id * 1000 + turn AS file, turn,
+  CASE WHEN role = 'user' THEN 'caller.' || conv_id ELSE 'desk' END || '@mail.example' AS sender,
+  ['a' || conv_id || '@x.example', 'b@y.example', 'copy@z.example'] AS rc,
+  ['10.9.' || (conv_id % 250) || '.' || turn, '192.0.2.7'] AS hops FROM conversations)"""
+ORACLE["mail_messages"] = _with(_MAILS) + """
+SELECT case_id, file AS evidence_file_id, sender, array_to_string(rc, ',') AS recipients,
+  array_to_string(hops, ',') AS hops, '<' || case_id || '.' || turn || '>' AS row_ref,
+  epoch_us(TIMESTAMP '2024-03-15 10:15:00') AS event_us, NULL::VARCHAR AS error_class FROM ml"""
+ORACLE["mail_links"] = _with(_MAILS, """
+x AS (SELECT case_id, file, 1 AS rec, unnest(range(6)) AS pos, NULL::TIMESTAMP AS ts, sender,
+   unnest([sender] || rc || hops) AS v FROM ml),
+m AS (SELECT case_id, file, rec, pos, CASE WHEN pos < 4 THEN 'email_address' ELSE 'ip_address' END AS t,
+   v, ts FROM x),
+l AS (SELECT case_id, file, rec, pos, 'email_address' AS aty, sender AS av,
+   CASE WHEN pos < 4 THEN 'email_address' ELSE 'ip_address' END AS bty, v AS bv,
+   CASE WHEN pos < 4 THEN 'direct_communication' ELSE 'shared_ip_subnet' END AS lt,
+   CASE WHEN pos < 4 THEN 0.95 ELSE 0.85 END::DOUBLE AS conf FROM x WHERE pos > 0)""", _ENT, _link()) + """
+SELECT k.case_id, k.a AS entity_a_id, k.b AS entity_b_id, x.v AS a, y.v AS b, lt AS link_type,
+  conf AS confidence_score FROM link k JOIN ent x ON x.case_id = k.case_id AND x.eid = k.a
+  JOIN ent y ON y.case_id = k.case_id AND y.eid = k.b"""
+
+_JSON_FOUND = """
+jf AS (SELECT case_id, rec AS file, unnest([
+   {'t': 'device_imei', 'v': imei}, {'t': 'ip_address', 'v': ip},
+   {'t': 'phone', 'v': caller},
+   {'t': 'mac_address', 'v': '02:00:00:00:00:' || lpad(CAST(rec % 100 AS VARCHAR), 2, '0')}]) AS s FROM r),
+fd AS (SELECT DISTINCT case_id, file, s.t AS t, s.v AS v FROM jf)"""
+ORACLE["json_identifiers"] = _with(_calls(), _JSON_FOUND) + """
+SELECT case_id, file AS evidence_file_id, t AS entity_type, v AS value FROM fd"""
+ORACLE["json_packages"] = _with(_calls()) + """
+SELECT case_id, rec AS evidence_file_id, 3::BIGINT AS rows_processed, 0::BIGINT AS rows_skipped,
+  'com.sample.app' AS package FROM r"""
+
+_OCT = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_TEXT_FOUND = rf"""
+tx AS (SELECT CAST(list_position(['de','en','es','fr'], lang) AS BIGINT) AS case_id, doc_id * 2 AS file, text
+       FROM documents UNION ALL SELECT 9, page_id * 2 + 1, html FROM pages),
+ln AS (SELECT case_id, file, unnest(regexp_split_to_array(text,
+   '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]')) AS line FROM tx),
+lx AS (SELECT case_id, file, line, regexp_extract_all(line, '\b[0-9]{{14,16}}\b') AS imeis,
+   regexp_extract_all(line, '\b(?:[0-9A-Fa-f]{{2}}[:-]){{5}}[0-9A-Fa-f]{{2}}\b') AS macs,
+   regexp_extract_all(line, '\b{_OCT}(?:\.{_OCT}){{3}}\b') AS ips,
+   regexp_extract(line, '(?i)(?:phone|msisdn|tel)[:=]\s*(\+?[0-9]{{10,15}})', 1) AS ph
+   FROM ln WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+fd0 AS (SELECT case_id, file, 'device_imei' AS t, unnest(imeis) AS v FROM lx
+   UNION ALL SELECT case_id, file, 'mac_address', upper(replace(unnest(macs), '-', ':')) FROM lx
+   UNION ALL SELECT case_id, file, 'ip_address', unnest(ips) FROM lx
+   UNION ALL SELECT case_id, file, 'phone', CASE WHEN ph[1:2] = '00' THEN '+' || ph[3:]
+      WHEN ph[1] = '+' THEN ph WHEN length(ph) = 10 AND ph[1] BETWEEN '6' AND '9' THEN '+91' || ph
+      WHEN length(ph) = 10 AND ph[1] BETWEEN '2' AND '5' THEN '+1' || ph ELSE '+' || ph END
+   FROM lx WHERE ph <> ''),
+fd AS (SELECT DISTINCT * FROM fd0)"""
+ORACLE["extract_identifiers"] = _with(_TEXT_FOUND) + """
+SELECT case_id, file AS evidence_file_id, t AS entity_type, v AS value FROM fd"""
+ORACLE["log_line_outcomes"] = _with(_TEXT_FOUND) + """
+SELECT case_id, file AS evidence_file_id, count(*) FILTER (hit) AS rows_processed,
+  count(*) FILTER (NOT hit) AS rows_skipped
+FROM (SELECT *, len(imeis) + len(macs) + len(ips) > 0 OR ph <> '' AS hit FROM lx) GROUP BY ALL"""
+
+_CROSS = """
+ru AS (SELECT * FROM (VALUES (0, 'device_imei', 'mac_address', 'shared_mac', 0.98::DOUBLE),
+   (0, 'device_imei', 'ip_address', 'shared_ip_subnet', 0.90), (0, 'device_imei', 'phone', 'shared_imei', 0.95),
+   (1, 'mac_address', 'device_imei', 'shared_imei', 0.98), (1, 'mac_address', 'ip_address', 'shared_ip_subnet', 0.90),
+   (2, 'ip_address', 'device_imei', 'shared_imei', 0.90), (2, 'ip_address', 'mac_address', 'shared_mac', 0.90),
+   (3, 'phone', 'device_imei', 'shared_imei', 0.95)) AS v(rec, aty, bty, lt, conf)),
+m AS (SELECT case_id, file, list_position(['device_imei','mac_address','ip_address','phone'], t) AS rec,
+   0 AS pos, t, v, NULL::TIMESTAMP AS ts FROM fd),
+l AS (SELECT a.case_id, a.file, ru.rec, 0 AS pos, aty, a.v AS av, bty, b.v AS bv, lt, conf
+   FROM fd a JOIN ru ON ru.aty = a.t JOIN fd b ON b.case_id = a.case_id AND b.file = a.file AND b.t = ru.bty)"""
+ORACLE["device_cross_links"] = _with(_calls().split(",\nm AS")[0], _JSON_FOUND, _CROSS, _ENT, _link()) + _LINK_ROWS
+ORACLE["device_cross_links_text"] = _with(_TEXT_FOUND, _CROSS, _ENT, _link()) + _LINK_ROWS
+
+ORACLE["stream_calls"] = ORACLE["entities_calls"]
