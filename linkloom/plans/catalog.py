@@ -713,3 +713,25 @@ def stream_calls(spark, sf):
         stream, lambda b: records.call_evidence(B.calls(b.sparkSession, sf, events=b)), store,
         f"{root}/checkpoint").awaitTermination()
     return _entity_rows(store.read(spark, "entity"))
+
+
+@query
+def risk_list_phones(spark, sf):
+    """The risk list filtered to phones, with rules 1 and 2."""
+    nodes, edges, links = _graph(call_tables(spark, sf))
+    fired = (risk._fired(risk.velocity(nodes, edges), V.VELOCITY, F.col("n_hops"), F.lit(10))
+             .unionByName(risk._fired(risk.sim_switch(nodes, links), V.SIM_SWITCH, F.col("imei"),
+                                      F.col("n_phones"), F.lit(24))))
+    return risk.risk_list(risk.total(nodes, fired), V.PHONE).select(
+        "case_id", "entity_id", "value", "score", "recommendation")
+
+
+@query
+def hash_sync(spark, sf):
+    """Stored digests replaced by computed ones for the files that were read again."""
+    files = B.artifact_digests(spark, sf)
+    stale = files.withColumn("file_hash", F.when(F.col("entry_id") % 3 == 0, F.lit("stale"))
+                             .otherwise(F.col("file_hash")))
+    again = files.join(B.table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(
+        F.col("o_orderkey").alias("evidence_file_id")), "evidence_file_id", "left_semi")
+    return custody.sync_hashes(stale, again)

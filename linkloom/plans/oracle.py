@@ -698,3 +698,16 @@ ORACLE["device_cross_links"] = _with(_calls().split(",\nm AS")[0], _JSON_FOUND,
 ORACLE["device_cross_links_text"] = _with(_TEXT_FOUND, _CROSS, _ENT, _link()) + _LINK_ROWS
 
 ORACLE["stream_calls"] = ORACLE["entities_calls"]
+
+ORACLE["risk_list_phones"] = _with(*CALLS, _DEG, _SIM_REF_24) + """
+SELECT case_id, eid AS entity_id, v AS value, score,
+  CASE WHEN score > 0 THEN 'Recommended for investigator review — do not act without independent corroboration of the evidence.'
+  ELSE 'No significant fraud indicators detected at this time. Continue routine monitoring.' END AS recommendation
+FROM (SELECT ent.case_id, ent.eid, v, CASE WHEN hops >= 3 THEN 45 ELSE 0 END
+   + CASE WHEN sim.n IS NOT NULL THEN 40 ELSE 0 END AS score
+   FROM ent LEFT JOIN deg USING (case_id, eid) LEFT JOIN sim USING (case_id, eid) WHERE t = 'phone')"""
+
+ORACLE["hash_sync"] = _with(_FILES) + """
+SELECT case_id, evidence_file_id, entry_id,
+  CASE WHEN o_orderstatus <> 'F' AND entry_id % 3 = 0 THEN 'stale' ELSE file_hash END AS file_hash
+FROM f JOIN orders ON o_orderkey = evidence_file_id"""

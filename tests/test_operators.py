@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.operators import checks, clusters, custody, graph, numbering, paths, risk
+from linkloom.operators import brief, checks, clusters, custody, graph, numbering, paths, risk
 
 T0 = "2024-03-15 10:00:00"
 
@@ -168,3 +169,24 @@ def test_violations(spark):
     nodes, links, _ = scene(spark, [(1, "phone", 0), (2, "phone", 0)], [(1, 2, "transaction"), (1, 9, "transaction")])
     got = checks.violations(nodes, links.withColumn("confidence_score", F.lit(1.5))).collect()
     assert {(r.violation, r.n) for r in got} == {("link_endpoint_b_missing", 1), ("confidence_out_of_range", 2)}
+
+
+def test_sinks_write_json_rows(spark, tmp_path):
+    nodes, links, edges = scene(spark, [(1, "phone", 0), (2, "phone", 0)], [(1, 2, "transaction")])
+    found = clusters.clusters_of(nodes, edges)
+    graph.write_graph(graph.serialized_nodes(nodes, found), graph.serialized_edges(edges), str(tmp_path / "g"))
+    assert spark.read.json(str(tmp_path / "g" / "edges")).first().confidence_label == "Medium"
+    assert [r.id for r in spark.read.json(str(tmp_path / "g" / "nodes")).orderBy("id").collect()] == [1, 2]
+    scores = risk.assess(nodes, edges, links, found)
+    cases = spark.createDataFrame([(1, "Case A")], "case_id long, name string")
+    files, entries = ledger(spark)
+    metrics = brief.case_metrics(cases, files, nodes, links, found)
+    sections = brief.brief_sections(
+        metrics, custody.verify(cases, files, entries), brief.top_entities(scores, mask_pii=False),
+        brief.cluster_summary(nodes, found, scores), F.current_timestamp())
+    brief.write_brief(sections, str(tmp_path / "b"))
+    rows = spark.read.json(str(tmp_path / "b")).collect()
+    assert sorted(r.section for r in rows) == ["case_summary", "clusters", "custody_chain",
+                                               "top_entities", "top_entities"]
+    head = json.loads(next(r.body for r in rows if r.section == "case_summary"))
+    assert (head["name"], head["total_entities"], head["total_clusters"]) == ("Case A", 2, 1)
