@@ -120,11 +120,6 @@ def created_per_file(entities: DataFrame, links: DataFrame) -> DataFrame:
         F.sum("e").alias("entities_created"), F.sum("l").alias("links_created"))
 
 
-def entity_counts_per_file(entities: DataFrame) -> DataFrame:
-    return entities.groupBy("case_id", F.col("first_file_id").alias("evidence_file_id")).agg(
-        F.count(F.lit(1)).alias("entities_created"))
-
-
 def lookup(entities: DataFrame, wanted: DataFrame) -> DataFrame:
     """Case-scoped lookup: the same value in two cases is two entities."""
     return wanted.join(entities, ENTITY_KEY)

@@ -229,7 +229,7 @@ def entity_links_ledger(spark, sf):
 
 @query
 def entity_lookup(spark, sf):
-    """The entities of a value per case: customers' accounts over all ledger cases."""
+    """Suppliers' accounts looked up in every ledger case: one entity per case and value."""
     entities = resolve.first_mentions(records.ledger_evidence(B.transfers(spark, sf))[0])
     wanted = B.table(spark, sf, "supplier").select(
         F.lit(V.ACCOUNT).alias("entity_type"), N.account(F.concat(
