@@ -160,7 +160,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, shard_sequences: in
     total, n = pieces.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
     shards = max(1, math.ceil(total / (capacity * shard_sequences)), math.ceil(n / shard_pieces))
 
-    def place(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32", "slot"], ascending=False)
         bins, offsets = sum_of_squares(pdf["length"].to_numpy(), capacity)
         return pdf.assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets).drop(columns=["shard"])
@@ -172,7 +172,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, shard_sequences: in
     left = cut(fills.filter(F.col("length") < capacity))
     groups = max(1, math.ceil(left.count() / OPEN_PER_SHARD))
 
-    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "sequence_id"], ascending=False)
         bins, base = sum_of_squares(pdf["length"].to_numpy(), capacity)
         first = pdf["sequence_id"].groupby(bins).transform("min") if len(pdf) else pdf["sequence_id"]

@@ -2,22 +2,56 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkloom.llm import languages, mixing, packing, quality, secret_scan
+
+QUALITY_THRESHOLD = 0.3
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op2_mixture_languages(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    held_out = languages.held_out(4, 2)
+    model = languages.learn(docs.filter(F.col("lang").isNotNull() & ~F.coalesce(held_out, F.lit(True))))
+    return languages.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
-    import public_tokenizers
+    return packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
 
-    from linkloom.llm.packing import pack
+def op4_temperature_mix(spark: SparkSession, sf: str) -> DataFrame:
+    counted = mixing.count_tokens(_table(spark, sf, "documents"))
+    fitted = mixing.fit(counted)
+    return mixing.plan(counted, fitted).select("doc_id", "source", "copy", "n_tokens", "block", "position",
+                                               F.round("weight", 9).alias("weight"))
 
-    return pack(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+def op6_subword_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs, held_out = _table(spark, sf, "documents"), languages.held_out(5, 0)
+    labels = _table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    learned_from = docs.select("doc_id", "text").join(labels, "doc_id").filter(~F.coalesce(held_out, F.lit(True)))
+    scored = quality.score(docs.select("doc_id", "text", held_out.alias("held_out")), quality.learn(learned_from))
+    return scored.withColumn("predicted", (F.col("score") >= QUALITY_THRESHOLD).cast("int"))
+
+
+def op8_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf, "documents").select("doc_id", "text"))
 
 
 QUERIES = {
+    "op2_mixture_languages": op2_mixture_languages,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_temperature_mix": op4_temperature_mix,
+    "op6_subword_quality": op6_subword_quality,
+    "op8_secret_scan": op8_secret_scan,
+}
+ORACLE: dict[str, str] = {
+    "op4_temperature_mix": mixing.ORACLE_SQL,
 }
-ORACLE: dict[str, str] = {}
