@@ -30,7 +30,7 @@ from linkloom.runtime import cut
 TARGET_ENTROPY = 0.95
 MAX_REPEATS = 4.0
 BLOCK_TOKENS = 1 << 17
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 500
 STEPS, PASSES = 6, 5
 
 

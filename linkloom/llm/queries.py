@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import languages, mixing, packing, quality, secret_scan
+from linkloom.llm import html_text, languages, mixing, nearest, packing, quality, secret_scan, warc
+from linkloom.runtime import cut
 
 QUALITY_THRESHOLD = 0.3
 
@@ -15,6 +16,10 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_tree_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf, "pages").select("page_id", "url", "html"), html_text.trained())
+
+
 def op2_mixture_languages(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     held_out = languages.held_out(4, 2)
@@ -27,7 +32,7 @@ def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_temperature_mix(spark: SparkSession, sf: str) -> DataFrame:
-    counted = mixing.count_tokens(_table(spark, sf, "documents"))
+    counted = cut(mixing.count_tokens(_table(spark, sf, "documents")))
     fitted = mixing.fit(counted)
     return mixing.plan(counted, fitted).select("doc_id", "source", "copy", "n_tokens", "block", "position",
                                                F.round("weight", 9).alias("weight"))
@@ -41,17 +46,30 @@ def op6_subword_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= QUALITY_THRESHOLD).cast("int"))
 
 
+def op7_seekable_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.read(warc.write(_table(spark, sf, "pages").select("page_id", "url", "html")))
+
+
 def op8_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op10_kd_tree_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest.top_k(nearest.prepared(_table(spark, sf, "embeddings")), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
+    "op1_tree_extraction": op1_tree_extraction,
     "op2_mixture_languages": op2_mixture_languages,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_temperature_mix": op4_temperature_mix,
     "op6_subword_quality": op6_subword_quality,
+    "op7_seekable_warc": op7_seekable_warc,
     "op8_secret_scan": op8_secret_scan,
+    "op10_kd_tree_top_k": op10_kd_tree_top_k,
 }
 ORACLE: dict[str, str] = {
     "op4_temperature_mix": mixing.ORACLE_SQL,
+    "op7_seekable_warc": warc.ORACLE_SQL,
+    "op10_kd_tree_top_k": nearest.ORACLE_SQL,
 }
