@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import html_text, languages, mixing, nearest, packing, quality, secret_scan, warc
+from linkloom.llm import html_text, languages, mixing, nearest, packing, quality, secret_scan, vector_dedup, warc
 from linkloom.runtime import cut
 
 QUALITY_THRESHOLD = 0.3
@@ -38,6 +38,10 @@ def op4_temperature_mix(spark: SparkSession, sf: str) -> DataFrame:
                                                F.round("weight", 9).alias("weight"))
 
 
+def op5_sorted_projections(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_dedup.dedup(_table(spark, sf, "embeddings"))
+
+
 def op6_subword_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs, held_out = _table(spark, sf, "documents"), languages.held_out(5, 0)
     labels = _table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
@@ -63,6 +67,7 @@ QUERIES = {
     "op2_mixture_languages": op2_mixture_languages,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_temperature_mix": op4_temperature_mix,
+    "op5_sorted_projections": op5_sorted_projections,
     "op6_subword_quality": op6_subword_quality,
     "op7_seekable_warc": op7_seekable_warc,
     "op8_secret_scan": op8_secret_scan,
@@ -70,6 +75,7 @@ QUERIES = {
 }
 ORACLE: dict[str, str] = {
     "op4_temperature_mix": mixing.ORACLE_SQL,
+    "op5_sorted_projections": vector_dedup.ORACLE_SQL,
     "op7_seekable_warc": warc.ORACLE_SQL,
     "op10_kd_tree_top_k": nearest.ORACLE_SQL,
 }
