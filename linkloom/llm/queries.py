@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import html_text, languages, mixing, nearest, packing, quality, secret_scan, vector_dedup, warc
+from linkloom.llm import html_text, languages, mixing, nearest, packing, quality, secret_scan, text_dedup, vector_dedup, warc
 from linkloom.runtime import cut
 
 QUALITY_THRESHOLD = 0.3
@@ -58,6 +58,11 @@ def op8_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op9_lsh_forest_join(spark: SparkSession, sf: str) -> DataFrame:
+    found = text_dedup.join(_table(spark, sf, "documents"))
+    return found.select("doc_id", "class_id", "n_links", "component_id", "kept")
+
+
 def op10_kd_tree_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return nearest.top_k(nearest.prepared(_table(spark, sf, "embeddings")), F.col("vec_id") % 20 == 0)
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op6_subword_quality": op6_subword_quality,
     "op7_seekable_warc": op7_seekable_warc,
     "op8_secret_scan": op8_secret_scan,
+    "op9_lsh_forest_join": op9_lsh_forest_join,
     "op10_kd_tree_top_k": op10_kd_tree_top_k,
 }
 ORACLE: dict[str, str] = {
