@@ -148,25 +148,31 @@ def decide(rows: np.ndarray, counts: np.ndarray, penalty: float = PENALTY):
     return chosen, lead, counts
 
 
-def identify(docs: DataFrame, model: Languages, penalty: float = PENALTY) -> DataFrame:
-    """Per row: the columns of ``docs`` but the text, then ``lang_pred`` and ``score``."""
-    names, scores = model.names, model.scores
+def identify(docs: DataFrame, model: Languages, penalty: float = PENALTY, keep: list[str] | None = None,
+             names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Per row: the ``keep`` columns (all but the text), then the predicted language and its score."""
+    known, scores, (pred, value) = model.names, model.scores, names
 
     def setup():
-        return WordTable(lambda words: measure(words, scores), len(names) + 1)
+        return WordTable(lambda words: measure(words, scores), len(known) + 1)
 
     def run(texts, table):
-        if not names:
-            return {"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts)}
+        if not known:
+            return {pred: ["und"] * len(texts), value: [0.0] * len(texts)}
         rows, counts = table.look_up(texts)
         share, lead, words = decide(rows, counts, penalty)
         found = share.argmax(1)
         score = share.max(1) * (1 - np.exp(-np.maximum(lead, 0)) / 2)
-        return {"lang_pred": [names[k] if n else "und" for k, n in zip(found, words)],
-                "score": np.where(words > 0, np.clip(score, 0, 1), 0.0)}
+        return {pred: [known[k] if n else "und" for k, n in zip(found, words)],
+                value: np.where(words > 0, np.clip(score, 0, 1), 0.0)}
 
-    keep = [c for c in docs.columns if c != "text"]
-    return map_texts(docs, run, "lang_pred string, score double", keep, setup=setup)
+    keep = [c for c in docs.columns if c not in ("text", *names)] if keep is None else keep
+    return map_texts(docs, run, f"{pred} string, {value} double", keep, setup=setup)
+
+
+def keep_identified(docs: DataFrame, model: Languages) -> DataFrame:
+    """The rows of ``docs`` with a language, all columns unchanged; those found ``und`` go."""
+    return identify(docs, model, keep=docs.columns, names=("__lang", "__score")).filter("__lang <> 'und'").select(*docs.columns)
 
 
 def held_out(modulus: int, rest: int):

@@ -47,8 +47,8 @@ def tokens_of(text: Column) -> Column:
     return (F.coalesce(F.regexp_count(text, F.lit("[^ \\t\\n\\r\\f]+")), F.lit(0)) + 1).cast("long")
 
 
-def _key(copy: Column, salt: str) -> Column:
-    return F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_md5"),
+def _key(copy: Column, salt: str, text_md5: str = "text_md5") -> Column:
+    return F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col(text_md5),
                              copy.cast("string"), F.lit(salt)))
 
 
@@ -139,9 +139,9 @@ def mix(docs: DataFrame, **limits) -> DataFrame:
     ends = ends.withColumn("final", F.max("copy").over(last)).filter(F.col("copy") == F.col("final"))
     ends = cut(ends.select(F.col("source").alias("__of"), F.col("final").alias("__final"), F.col("key").alias("__end")))
     names = docs.columns
-    rows = docs.withColumn("text_md5", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    rows = docs.withColumn("__md5", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     rows = rows.join(ends, rows["source"].cast("string").eqNullSafe(F.col("__of")))
-    times = F.col("__final") + (_key(F.col("__final"), "stream") <= F.col("__end")).cast("int")
+    times = F.col("__final") + (_key(F.col("__final"), "stream", "__md5") <= F.col("__end")).cast("int")
     rows = rows.withColumn("__copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array())))
     return rows.select(*names)
 

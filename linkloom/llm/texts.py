@@ -29,7 +29,7 @@ def map_texts(df: DataFrame, fn: Callable[[list[str]], dict[str, object]], schem
               text: str = "text", setup: Callable[[], object] | None = None) -> DataFrame:
     """Narrow pass over whole texts: ``fn`` takes a list of texts (null as empty) and returns columns of the
     same length that follow the ``keep`` columns. With ``setup``, ``fn`` gets its result as second argument,
-    made once per task."""
+    made once per task. ``keep`` may hold the text column itself if that is ``text``."""
     def run(batches):
         state = [setup()] if setup else []
         for batch in batches:
@@ -44,7 +44,8 @@ def map_texts(df: DataFrame, fn: Callable[[list[str]], dict[str, object]], schem
 
     out = StructType([*kept, *_parse_datatype_string(schema).fields])
     target = to_arrow_schema(out)
-    source = df.select(*keep, F.col(text).cast("string").alias("text"))
+    rest = [k for k in keep if k != text]
+    source = df.select(*rest, F.col(text).cast("string").alias("text"))
     return source.mapInArrow(run, out)
 
 
