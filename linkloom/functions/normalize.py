@@ -83,7 +83,7 @@ def _quad_tail_to_hex(text: Column) -> Column:
 def _ipv6(raw_text: Column) -> Column:
     """Compressed lower-case form of an IPv6 text, null if it is not one."""
     group = "[0-9a-f]{1,4}"
-    side = f"(?:{group}(?::{group})*)?"
+    side = f"(?:{group}(?::{group})*+)?+"
 
     def groups(half: Column) -> Column:
         return F.filter(F.split(half, ":"), lambda g: g != "")
@@ -115,7 +115,8 @@ def _ipv6(raw_text: Column) -> Column:
 def ip(raw: Column) -> Column:
     """Whole-text IPv6 in canonical form, else the first IPv4 inside the text."""
     text = clean_text(raw)
-    return F.when(text.contains(":"), F.coalesce(_ipv6(text), ipv4(raw))).otherwise(ipv4(raw))
+    # No IPv6 text is longer than 45 characters.
+    return F.when(text.contains(":") & (F.length(text) <= 45), F.coalesce(_ipv6(text), ipv4(raw))).otherwise(ipv4(raw))
 
 
 def account(raw: Column) -> Column:
@@ -141,12 +142,15 @@ def event_time(raw: Column) -> Column:
     A zone suffix is dropped, not applied; day and month are read month first unless that is
     impossible; all-digit text is epoch seconds, or milliseconds above 10^12.
     """
-    clock = r"(?:[T ]+([0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?))?[0-9]*$"
+    # Digits beyond microseconds are dropped; digits anywhere else make the text no time.
+    clock = r"(?:[T ]+([0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6}(?=[0-9]*$))?)?)(?:(?<=\.[0-9]{6})[0-9]*)?)?$"
     ymd = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})" + clock
-    xxy = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})" + clock
+    xxy = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4}|[0-9]{2})" + clock
     zone = r"(?i)(?<=[0-9])\s*(?:Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2})$"
-    named = ("d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy", "MMM d, yyyy HH:mm:ss",
-             "MMM d, yyyy", "d-MMM-yyyy HH:mm:ss", "d-MMM-yyyy")
+    compact = r"^([0-9]{4})([0-9]{2})([0-9]{2})[T ]([0-9]{2})([0-9]{2})([0-9]{2})$"
+    named = [f"{day}{time}" for day in ("d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d-MMM-yyyy")
+             for time in (" HH:mm:ss", " HH:mm", "")]
+    half_day = r"(?i)\s*([ap])\.?m\.?$"
 
     def from_epoch(number: Column) -> Column:
         us = F.when(number > 1_000_000_000_000, number * 1000).otherwise(number * 1_000_000)
@@ -154,7 +158,8 @@ def event_time(raw: Column) -> Column:
             "MICROSECOND", us, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
     def compose(y: Column, m: Column, d: Column, time: Column) -> Column:
-        stamp = F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
+        century = F.when(F.length(y) > 2, F.lit("")).when(y.cast("int") < 69, F.lit("20")).otherwise(F.lit("19"))
+        stamp = F.concat_ws("-", F.concat(century, y), F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
         hms = F.coalesce(F.nullif(time, F.lit("")), F.lit("00:00:00"))
         return F.concat_ws(" ", stamp, hms).try_cast("timestamp_ntz")
 
@@ -175,9 +180,18 @@ def event_time(raw: Column) -> Column:
                 .when(t.rlike(ymd), compose(part(ymd, 1), part(ymd, 2), part(ymd, 3), part(ymd, 4)))
                 .when(t.rlike(xxy), _let(F.struct(part(xxy, 1).alias("a"), part(xxy, 2).alias("b")),
                                          month_first))
+                .when(t.rlike(compact), compose(part(compact, 1), part(compact, 2), part(compact, 3), F.concat_ws(
+                    ":", part(compact, 4), part(compact, 5), part(compact, 6))))
                 .when(t.rlike("[A-Za-z]{3}"), _let(
                     F.regexp_replace(t, r"^[A-Za-z]{3,9},\s*", ""), by_name)))
 
-    # Only a text with a clock time can carry a zone.
-    return _let(clean_text(raw), lambda text: _let(
-        F.when(text.rlike("[0-9]:[0-9]"), F.regexp_replace(text, zone, "")).otherwise(text), of_text))
+    def of_clock(text: Column) -> Column:
+        """Twelve-hour clocks: 12 is the first hour of its half day."""
+        half = F.lower(F.regexp_extract(text, half_day, 1))
+        hour = F.regexp_extract(text, r"([0-9]{1,2}):[0-9]{2}", 1).cast("int")
+        shift = F.when((half == "p") & (hour < 12), 12).when((half == "a") & (hour == 12), -12).otherwise(0)
+        return F.timestamp_add("HOUR", shift, of_text(F.regexp_replace(text, half_day, "")))
+
+    # Only a text with a clock time can carry a zone or a half day.
+    return _let(clean_text(raw), lambda text: F.when(text.rlike("[0-9]:[0-9]"), F.when(
+        text.rlike(half_day), _let(text, of_clock)).otherwise(_let(F.regexp_replace(text, zone, ""), of_text))).otherwise(of_text(text)))

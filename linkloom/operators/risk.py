@@ -40,13 +40,14 @@ def velocity(nodes: DataFrame, edges: DataFrame, mode: str = "reference",
              window_minutes: int = V.VELOCITY_WINDOW_MINUTES) -> DataFrame:
     """Entities with at least three hops to neighbours first seen within the window."""
     near = both_ways(edges.select("case_id", "src", "dst"))
-    peers = nodes.filter("first_seen_at IS NOT NULL").select(
-        "case_id", F.col("entity_id").alias("peer"), micros(F.col("first_seen_at")).alias("us"))
-    seen = near.join(peers, ["case_id", "peer"])
     if mode == "reference":
-        hops = seen.groupBy("case_id", F.col("node").alias("entity_id")).agg(
+        # Every neighbour counts, also one whose evidence carries no time.
+        hops = near.join(nodes.select("case_id", F.col("entity_id").alias("peer")), ["case_id", "peer"]).groupBy("case_id", F.col("node").alias("entity_id")).agg(
             F.count(F.lit(1)).alias("n_hops"))
     else:
+        peers = nodes.filter("first_seen_at IS NOT NULL").select(
+            "case_id", F.col("entity_id").alias("peer"), micros(F.col("first_seen_at")).alias("us"))
+        seen = near.join(peers, ["case_id", "peer"])
         stamps = seen.select("case_id", F.col("node").alias("entity_id"), "us").unionByName(
             peers.withColumnRenamed("peer", "entity_id"))
         hops = _window_counts(stamps, KEY, window_minutes * 60_000_000).groupBy(*KEY).agg(
@@ -87,7 +88,7 @@ def sim_switch_devices(nodes: DataFrame, links: DataFrame, mode: str = "referenc
     # The count that decides takes every phone up to window end, so only the three earliest
     # times matter for where the scan stops; a top-k window keeps just those per device.
     rank = F.row_number().over(Window.partitionBy(*KEY).orderBy("us"))
-    first = phones.withColumn("k", rank).filter(F.col("k") <= V.SIM_MIN_PHONES).groupBy(*KEY).agg(
+    first = phones.filter("us IS NOT NULL").withColumn("k", rank).filter(F.col("k") <= V.SIM_MIN_PHONES).groupBy(*KEY).agg(
         F.sort_array(F.collect_list("us")).alias("t")).filter(F.size("t") == V.SIM_MIN_PHONES)
     third = F.element_at("t", V.SIM_MIN_PHONES)
     stop = F.element_at(F.filter("t", lambda x: x >= third - width), 1)
@@ -216,7 +217,7 @@ def fired_rules(nodes: DataFrame, edges: DataFrame, links: DataFrame, clusters:
         .unionByName(_fired(sim_switch(nodes, links, mode, window_hours), V.SIM_SWITCH,
                             F.col("imei"), F.col("n_phones"), F.lit(window_hours)))
         .unionByName(_fired(oversized_cluster(clusters), V.OVERSIZED,
-                            F.col("cluster_size"), F.col("median_size"), F.col("ratio")))
+                            F.col("cluster_size"), F.bround("median_size", 1), F.bround("ratio", 1)))
         .unionByName(_fired(transaction_hub(links), V.HUB, F.col("n_senders"))))
 
 

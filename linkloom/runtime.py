@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without the setting gets a temporary folder of its own; on a
-    cluster a machine-local path would be lost with its executor, so a missing setting fails.
+    Only a session in local mode (one process) without the setting gets a temporary folder of its own; on
+    any cluster a machine-local path would be lost with its executor, so a missing setting fails.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="linkloom-")
         spark.conf.set("spark.checkpoint.dir", root)

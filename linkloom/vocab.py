@@ -26,7 +26,7 @@ IPV4_RE = rf"{_NOT_AFTER_WORD}{_OCTET}(?:\.{_OCTET}){{3}}{_NOT_BEFORE_WORD}"
 MAC_RE = rf"{_NOT_AFTER_WORD}(?:[0-9A-Fa-f]{{2}}[:-]){{5}}[0-9A-Fa-f]{{2}}{_NOT_BEFORE_WORD}"
 IMEI_RE = rf"{_NOT_AFTER_WORD}[0-9]{{14,16}}{_NOT_BEFORE_WORD}"
 LOG_PHONE_RE = r"(?i)(?:phone|msisdn|tel)[:=]\s*(\+?[0-9]{10,15})"
-PACKAGE_RE = r"^(?:[a-zA-Z_][a-zA-Z0-9_]*\.)+[a-zA-Z_][a-zA-Z0-9_]*(?![0-9A-Za-z_])"
+PACKAGE_RE = r"^[a-zA-Z_][a-zA-Z0-9_]*+(?:\.[a-zA-Z_][a-zA-Z0-9_]*+)++"
 
 # Cells a CSV reader treats as missing (pandas defaults).
 NA_TOKENS = [
