@@ -132,16 +132,16 @@ def call_files(spark: SparkSession, sf: str) -> DataFrame:
     return rows.unionByName(head).withColumn("bad_bytes", F.lit(False))
 
 
-def ledger_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as ledger lines, one file per customer; every fifth file has no party column and
-    every seventh only a header."""
+def ledger_files(spark: SparkSession, sf: str, header_only: bool = False) -> DataFrame:
+    """Orders as ledger lines, one file per customer; every fifth file has no party column and, with
+    ``header_only``, every seventh only a header (the files that are refused as empty)."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     row = F.concat_ws(",", F.concat(F.lit("acc "), _text("o_custkey")),
                       F.concat(F.lit("BR-"), _text(F.col("o_orderkey") % 1000)),
                       F.concat(F.lit("U"), _text("o_custkey"), F.lit("@Bank")),
                       F.concat(F.lit('"INR '), F.format_number("o_totalprice", 2), F.lit('"')),
                       F.date_format("o_orderdate", "dd/MM/yyyy"))
-    rows = orders.filter("o_custkey % 7 <> 0").select(
+    rows = (orders.filter("o_custkey % 7 <> 0") if header_only else orders).select(
         F.col("o_custkey").alias("evidence_file_id"), (F.col("o_orderkey") + 1).alias("line_no"),
         row.alias("value"))
     head = orders.select("o_custkey").distinct().select(

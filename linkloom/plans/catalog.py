@@ -628,7 +628,7 @@ def csv_ledger_rows(spark, sf):
 
 @query
 def csv_rejections(spark, sf):
-    lines = B.ledger_files(spark, sf)
+    lines = B.ledger_files(spark, sf, header_only=True)
     headers = cut(tabular.headers_of(lines, V.LEDGER_ALIASES, V.LEDGER_REQUIRED))
     rows = tabular.ledger_rows(tabular.rows_of(lines, headers, list(V.LEDGER_ALIASES)))
     files = B.table(spark, sf, "customer").select(
