@@ -28,6 +28,14 @@ def first_mentions(mentions: DataFrame) -> DataFrame:
         F.min(arrival).alias("arrival"), F.min("event_ts").alias("first_seen_at"))
 
 
+def earlier_sightings(mentions: DataFrame, stored: DataFrame) -> DataFrame:
+    """Stored entities that a batch shows at an earlier time than the stored one."""
+    seen = first_mentions(mentions).select(*ENTITY_KEY, F.col("first_seen_at").alias("__seen"))
+    late = F.col("first_seen_at").isNull() | (F.col("__seen") < F.col("first_seen_at"))
+    return stored.join(seen.filter("__seen IS NOT NULL"), ENTITY_KEY).filter(late).select(
+        "case_id", "entity_id", F.col("__seen").alias("first_seen_at"))
+
+
 def _next_ids(df: DataFrame, stored: DataFrame | None, id_col: str,
               buckets: list[Column], order: list[Column]) -> DataFrame:
     if stored is None:

@@ -110,12 +110,22 @@ def artifact_digests(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderkey").alias("entry_id"), F.sha2(payload, 256).alias("file_hash"))
 
 
+def write_folder(lines: DataFrame, root: str) -> None:
+    """``lines`` (case_id, source_type, part, line_no, value) as an evidence folder with one file per
+    case, type and part."""
+    keys = ["case_id", "source_type", "part"]
+    lines.repartition(*keys).sortWithinPartitions(*keys, "line_no").select(*keys, "value").write.partitionBy(
+        *keys).text(root)
 
 
-def call_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Call records as lines of CSV files, one file per hour and event type. Rows of type
+def part_of(path: Column) -> Column:
+    return F.regexp_extract(path, "part=([^/]+)", 1).cast("long")
+
+
+def call_files(spark: SparkSession, sf: str, hourly: bool = True) -> DataFrame:
+    """Call records as lines of CSV files, one file per hour (or day) and event type. Rows of type
     ``error`` name nobody. Line numbers are ordered but not dense."""
-    raw = raw_calls(spark, sf)
+    raw = raw_calls(spark, sf, hourly)
     named = F.col("evidence_file_id") % 10 != EVENT_TYPES.index("error") + 1
     stamp = F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     row = F.concat_ws(",", F.when(named, F.concat(F.lit('"'), F.left("caller", F.lit(4)), F.lit(" "),
@@ -153,6 +163,44 @@ def ledger_files(spark: SparkSession, sf: str, header_only: bool = False) -> Dat
         F.lit(False).alias("bad_bytes"))
 
 
+def order_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as ledger lines, one file per order month and order status; those of status ``P`` have no
+    party column."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus")
+    keys = [F.date_format("o_orderdate", "yyyyMM").cast("long").alias("case_id"),
+            F.ascii("o_orderstatus").cast("long").alias("part")]
+    row = F.concat_ws(",", F.concat(F.lit("acc "), _text("o_custkey")),
+                      F.concat(F.lit("BR-"), _text(F.col("o_orderkey") % 1000)),
+                      F.concat(F.lit("U"), _text("o_custkey"), F.lit("@Bank")),
+                      F.concat(F.lit('"INR '), F.format_number("o_totalprice", 2), F.lit('"')),
+                      F.date_format("o_orderdate", "yyyy-MM-dd"))
+    rows = orders.select(*keys, (F.col("o_orderkey") + 1).alias("line_no"), row.alias("value"))
+    head = orders.select(*keys, "o_orderstatus").distinct().select(
+        "case_id", "part", F.lit(0).cast("long").alias("line_no"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("city,state,country,amt,date")).otherwise(
+            F.lit("Remitter,beneficiary account,Payee-VPA,Txn Amount,Txn Date")).alias("value"))
+    return rows.unionByName(head).withColumn("source_type", F.lit("bank_upi"))
+
+
+def supplier_dumps(spark: SparkSession, sf: str) -> DataFrame:
+    """One device dump per supplier: nested JSON, JSON with a list of phones, JSON without its last
+    bracket, a text log, or JSON that names nothing."""
+    key = _text("s_suppkey")
+    imei, host = F.concat(F.lit("86"), F.lpad(key, 13, "0")), F.concat(
+        F.lit("10.7."), _text(F.floor(F.col("s_suppkey") / 250)), F.lit("."), _text(F.col("s_suppkey") % 250))
+    phone, other = (F.concat(F.lit(d), F.lpad(key, 9, "0")) for d in "97")
+    plain = F.to_json(F.struct(F.struct(imei.alias("device_imei"), host.alias("host")).alias("meta"),
+                               phone.alias("msisdn")))
+    listed = F.to_json(F.struct(F.struct(F.array(phone, other).alias("phones")).alias("sim"), imei.alias("imei")))
+    log = F.concat(F.lit("boot imei "), imei, F.lit("\n\nphone="), phone, F.lit(" up\nnothing here\n"))
+    form = F.col("s_suppkey") % 5
+    text = (F.when(form == 0, plain).when(form == 1, listed).when(form == 2, F.expr("left(p, length(p) - 1)"))
+            .when(form == 3, log).otherwise(F.lit('{"note": "empty", "list": [1, 2]}')))
+    return table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", plain.alias("p")).select(
+        F.col("s_nationkey").cast("long").alias("case_id"), F.lit("android_log").alias("source_type"),
+        F.col("s_suppkey").alias("part"), F.lit(0).cast("long").alias("line_no"), text.alias("value"))
+
+
 def mails(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as email artifacts, the text as body."""
     c = table(spark, sf, "conversations")

@@ -16,7 +16,7 @@ from linkloom.operators import cases as CS
 from linkloom.operators import checks, clusters, custody, graph, paths, records, resolve, risk
 from linkloom.plans import bindings as B
 from linkloom.runtime import cut, micros, scratch_root
-from linkloom.sources import device_log, mail, tabular
+from linkloom.sources import artifacts, device_log, mail, tabular
 from linkloom.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -715,6 +715,117 @@ def stream_calls(spark, sf):
     return _entity_rows(store.read(spark, "entity"))
 
 
+def _parsed_folder(spark, lines):
+    """An evidence folder written from ``lines``, scanned, registered and parsed."""
+    root = f"{scratch_root(spark)}/folder-{uuid.uuid4().hex}"
+    B.write_folder(lines, root)
+    files = artifacts.register(artifacts.scan(spark, root))
+    return files, artifacts.parse_folder(spark, root, files)
+
+
+def _named(mentions):
+    """How often, in how many files and in which rows each value is named."""
+    return mentions.groupBy("case_id", "entity_type", "value").agg(
+        F.count(F.lit(1)).alias("n_mentions"), F.count_distinct("evidence_file_id").alias("n_files"),
+        F.sum("rec_no").alias("row_sum"), micros(F.min("event_ts")).alias("first_seen_us"))
+
+
+def _daily_call_lines(spark, sf):
+    return B.call_files(spark, sf, False).withColumns(
+        {"source_type": F.lit("cdr"), "part": F.col("evidence_file_id")})
+
+
+@query
+def csv_folder_calls(spark, sf):
+    """All events as CSV files, read back from the folder."""
+    return _named(_parsed_folder(spark, _daily_call_lines(spark, sf))[1].mentions)
+
+
+@query
+def csv_folder_ledger(spark, sf):
+    """All orders as CSV files: rows used and skipped, mentions and links per file, and refusals."""
+    files, parsed = _parsed_folder(spark, B.order_files(spark, sf))
+
+    def per_file(df, name):
+        return df.groupBy("evidence_file_id").agg(F.count(F.lit(1)).alias(name))
+
+    out = files.select("case_id", B.part_of(F.col("path")).alias("part"), "evidence_file_id")
+    for side in (parsed.outcomes.drop("case_id"), parsed.rejected.drop("case_id"),
+                 per_file(parsed.mentions, "mentions"), per_file(parsed.links, "links")):
+        out = out.join(side, "evidence_file_id", "left")
+    return out.drop("evidence_file_id")
+
+
+@query
+def mail_folder(spark, sf):
+    """All conversation turns as mail files, read back from the folder."""
+    lines = B.mails(spark, sf).select(
+        "case_id", F.lit("email").alias("source_type"), F.col("evidence_file_id").alias("part"),
+        F.lit(0).cast("long").alias("line_no"), F.col("content").cast("string").alias("value"))
+    return _named(_parsed_folder(spark, lines)[1].mentions).drop("row_sum")
+
+
+@query
+def dump_folder(spark, sf):
+    """Device dumps of all suppliers, read back from the folder: identifiers, outcomes and refusals by file."""
+    files, parsed = _parsed_folder(spark, B.supplier_dumps(spark, sf))
+    part = files.select("evidence_file_id", B.part_of(F.col("path")).alias("part"))
+    none = F.lit(None).cast("string")
+    rows = parsed.mentions.select("evidence_file_id", "case_id", "entity_type", "value").unionByName(
+        parsed.rejected.select("evidence_file_id", "case_id", F.col("error_class").alias("entity_type"), none.alias("value"))
+    ).unionByName(parsed.outcomes.select(
+        "evidence_file_id", "case_id", F.lit("outcome").alias("entity_type"),
+        F.format_string("%d/%d", "rows_processed", "rows_skipped").alias("value")))
+    return rows.join(part, "evidence_file_id").drop("evidence_file_id")
+
+
+@query
+def entities_dumps(spark, sf):
+    """Entities of text dumps, whose first time is that of the upload."""
+    dumps = B.text_dumps(spark, sf)
+    files = dumps.select("evidence_file_id", (
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("evidence_file_id").cast("int"))
+    ).alias("uploaded_at"))
+    found = cut(device_log.distinct_identifiers(device_log.line_identifiers(device_log.text_lines(dumps))))
+    return _entity_rows(resolve.resolve_entities(artifacts.dated(records.device_evidence(found)[0], files)))
+
+
+def _streamed_folder(spark, sf):
+    """Call files of all events as a folder that arrives in at least three micro-batches, with scores."""
+    root = f"{scratch_root(spark)}/arrivals-{uuid.uuid4().hex}"
+    B.write_folder(_daily_call_lines(spark, sf), f"{root}/in")
+    n = artifacts.scan(spark, f"{root}/in").drop("content").count()
+    store = ingest.Store(spark, f"{root}/store")
+    ingest.stream_folder(spark, f"{root}/in", store, f"{root}/checkpoint",
+                         files_per_batch=max(1, -(-n // 3))).awaitTermination()
+    return store
+
+
+@query
+def stream_folder_entities(spark, sf):
+    """Entities after three micro-batches, with times, links and scores."""
+    store = _streamed_folder(spark, sf)
+    files = store.read(spark, "evidence_file")
+    cases = files.select("case_id").distinct()
+    entities = cut(store.entities(spark, 1 << 60, cases))
+    ends = F.explode(F.array("entity_a_id", "entity_b_id")).alias("entity_id")
+    links = store.read(spark, "entity_link").select("case_id", ends).groupBy("case_id", "entity_id").agg(
+        F.count(F.lit(1)).alias("n_links"))
+    key = ["case_id", "entity_id"]
+    return entities.join(links, key, "left").select(
+        "case_id", "entity_type", "value", micros(F.col("first_seen_at")).alias("first_seen_us"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+@query
+def stream_folder_custody(spark, sf):
+    """Chains over three micro-batches: valid, and one entry for every file."""
+    store = _streamed_folder(spark, sf)
+    files = store.read(spark, "evidence_file")
+    report = custody.verify(files.select("case_id").distinct(), files, store.read(spark, "custody_log_entry"))
+    return report.select("case_id", "is_valid", "total_entries", "unlogged_files")
+
+
 @query
 def risk_list_phones(spark, sf):
     """The risk list filtered to phones, with rules 1 and 2."""

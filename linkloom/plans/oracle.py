@@ -684,6 +684,60 @@ SELECT case_id, file AS evidence_file_id, count(*) FILTER (hit) AS rows_processe
   count(*) FILTER (NOT hit) AS rows_skipped
 FROM (SELECT *, len(imeis) + len(macs) + len(ips) > 0 OR ph <> '' AS hit FROM lx) GROUP BY ALL"""
 
+_DAILY_ROWS = _calls("%Y%m%d") + """,
+no AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY rec) AS n FROM r),
+mm AS (SELECT DISTINCT m.case_id, m.file, n, t, v, date_trunc('second', m.ts) AS ts
+  FROM m JOIN no ON no.rec = m.rec AND no.file = m.file WHERE m.file % 10 <> 2)"""
+ORACLE["csv_folder_calls"] = _with(_DAILY_ROWS) + """
+SELECT case_id, t AS entity_type, v AS value, count(*) AS n_mentions, count(DISTINCT file) AS n_files,
+  CAST(sum(n) AS BIGINT) AS row_sum, epoch_us(min(ts)) AS first_seen_us FROM mm GROUP BY case_id, t, v"""
+
+ORACLE["csv_folder_ledger"] = """
+SELECT CAST(strftime(o_orderdate, '%Y%m') AS BIGINT) AS case_id, ascii(o_orderstatus)::BIGINT AS part,
+  CASE WHEN o_orderstatus <> 'P' THEN count(*) END AS rows_processed,
+  CASE WHEN o_orderstatus <> 'P' THEN 0 END AS rows_skipped,
+  CASE WHEN o_orderstatus = 'P' THEN 'MissingColumnError' END AS error_class,
+  CASE WHEN o_orderstatus <> 'P' THEN CAST(sum(2 + two) AS BIGINT) END AS mentions,
+  CASE WHEN o_orderstatus <> 'P' THEN CAST(sum(1 + 2 * two) AS BIGINT) END AS links
+FROM (SELECT *, CASE WHEN o_orderkey % 1000 >= 10 THEN 1 ELSE 0 END AS two FROM orders)
+GROUP BY 1, 2, o_orderstatus"""
+
+ORACLE["mail_folder"] = _with(_MAILS, """
+x AS (SELECT DISTINCT case_id, file, t, v FROM (
+  SELECT case_id, file, 'email_address' AS t, unnest([sender] || rc) AS v FROM ml
+  UNION ALL SELECT case_id, file, 'ip_address', unnest(hops) FROM ml))""") + """
+SELECT case_id, t AS entity_type, v AS value, count(*) AS n_mentions, count(*) AS n_files,
+  epoch_us(TIMESTAMP '2024-03-15 10:15:00') AS first_seen_us FROM x GROUP BY case_id, t, v"""
+
+ORACLE["dump_folder"] = """
+WITH s AS (SELECT s_suppkey AS part, s_nationkey::BIGINT AS case_id, s_suppkey % 5 AS form,
+  '86' || lpad(CAST(s_suppkey AS VARCHAR), 13, '0') AS imei,
+  '10.7.' || (s_suppkey // 250) || '.' || (s_suppkey % 250) AS ip,
+  lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS k FROM supplier)
+SELECT part, case_id, 'device_imei' AS entity_type, imei AS value FROM s WHERE form < 4
+UNION ALL SELECT part, case_id, 'ip_address', ip FROM s WHERE form IN (0, 2)
+UNION ALL SELECT part, case_id, 'phone', '+919' || k FROM s WHERE form IN (0, 1, 3)
+UNION ALL SELECT part, case_id, 'phone', '+917' || k FROM s WHERE form = 1
+UNION ALL SELECT part, case_id, 'CorruptedFileError', NULL FROM s WHERE form = 4
+UNION ALL SELECT part, case_id, 'outcome', CASE form WHEN 2 THEN '1/0' WHEN 3 THEN '2/1' ELSE '2/0' END
+  FROM s WHERE form < 4"""
+
+ORACLE["entities_dumps"] = _with(_TEXT_FOUND, """
+m AS (SELECT case_id, file, list_position(['device_imei','mac_address','ip_address','phone'], t) AS rec,
+   0 AS pos, t, v, TIMESTAMP '2024-01-01' + to_minutes(file) AS ts FROM fd)""", _ENT) + _ENTITY_ROWS
+
+ORACLE["stream_folder_entities"] = _with(_DAILY_ROWS) + """,
+em AS (SELECT case_id, t, v, min(ts) AS ts FROM mm GROUP BY ALL),
+lk AS (SELECT DISTINCT case_id, lt, least(aty || av, bty || bv) AS a, greatest(aty || av, bty || bv) AS b
+  FROM l WHERE file % 10 <> 2 AND aty || av <> bty || bv),
+dg AS (SELECT case_id, k, count(*) AS n FROM (
+  SELECT case_id, a AS k FROM lk UNION ALL SELECT case_id, b FROM lk) GROUP BY ALL)
+SELECT em.case_id, t AS entity_type, v AS value, epoch_us(ts) AS first_seen_us, coalesce(dg.n, 0) AS n_links
+FROM em LEFT JOIN dg ON dg.case_id = em.case_id AND dg.k = t || v"""
+
+ORACLE["stream_folder_custody"] = _with(_calls("%Y%m%d")) + """
+SELECT case_id, true AS is_valid, count(DISTINCT file) AS total_entries, 0 AS unlogged_files FROM r GROUP BY case_id"""
+
 _CROSS = """
 ru AS (SELECT * FROM (VALUES (0, 'device_imei', 'mac_address', 'shared_mac', 0.98::DOUBLE),
    (0, 'device_imei', 'ip_address', 'shared_ip_subnet', 0.90), (0, 'device_imei', 'phone', 'shared_imei', 0.95),
