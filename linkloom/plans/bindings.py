@@ -110,12 +110,15 @@ def artifact_digests(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderkey").alias("entry_id"), F.sha2(payload, 256).alias("file_hash"))
 
 
-def write_folder(lines: DataFrame, root: str) -> None:
-    """``lines`` (case_id, source_type, part, line_no, value) as an evidence folder with one file per
-    case, type and part."""
-    keys = ["case_id", "source_type", "part"]
+def write_folder(lines: DataFrame, root: str, source_type: str) -> None:
+    """``lines`` (case_id, part, line_no, value) as evidence of one type, one file per case and part.
+
+    The order of the lines outlives the write because it begins with the columns of the folders; a
+    constant type among them would be taken out of the sort, so the type is a part of the path.
+    """
+    keys = ["case_id", "part"]
     lines.repartition(*keys).sortWithinPartitions(*keys, "line_no").select(*keys, "value").write.partitionBy(
-        *keys).text(root)
+        *keys).text(f"{root}/source_type={source_type}")
 
 
 def part_of(path: Column) -> Column:
@@ -179,7 +182,7 @@ def order_files(spark: SparkSession, sf: str) -> DataFrame:
         "case_id", "part", F.lit(0).cast("long").alias("line_no"),
         F.when(F.col("o_orderstatus") == "P", F.lit("city,state,country,amt,date")).otherwise(
             F.lit("Remitter,beneficiary account,Payee-VPA,Txn Amount,Txn Date")).alias("value"))
-    return rows.unionByName(head).withColumn("source_type", F.lit("bank_upi"))
+    return rows.unionByName(head)
 
 
 def supplier_dumps(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,8 +200,7 @@ def supplier_dumps(spark: SparkSession, sf: str) -> DataFrame:
     text = (F.when(form == 0, plain).when(form == 1, listed).when(form == 2, F.expr("left(p, length(p) - 1)"))
             .when(form == 3, log).otherwise(F.lit('{"note": "empty", "list": [1, 2]}')))
     return table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", plain.alias("p")).select(
-        F.col("s_nationkey").cast("long").alias("case_id"), F.lit("android_log").alias("source_type"),
-        F.col("s_suppkey").alias("part"), F.lit(0).cast("long").alias("line_no"), text.alias("value"))
+        F.col("s_nationkey").cast("long").alias("case_id"), F.col("s_suppkey").alias("part"), F.lit(0).cast("long").alias("line_no"), text.alias("value"))
 
 
 def mails(spark: SparkSession, sf: str) -> DataFrame:

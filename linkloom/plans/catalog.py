@@ -30,11 +30,11 @@ def query(fn):
 # --- shared stages ----------------------------------------------------------
 
 def call_tables(spark, sf, hourly=True, scope="case"):
-    return resolve.resolve(records.call_evidence(B.calls(spark, sf, hourly)), scope)
+    return resolve.resolve(records.call_evidence(cut(B.calls(spark, sf, hourly))), scope)
 
 
 def ledger_tables(spark, sf):
-    return resolve.resolve(records.ledger_evidence(B.transfers(spark, sf)))
+    return resolve.resolve(records.ledger_evidence(cut(B.transfers(spark, sf))))
 
 
 def _graph(tables):
@@ -315,8 +315,17 @@ def strongest_paths(spark, sf):
     nodes, edges, _ = _graph(ledger_tables(spark, sf))
     ends = nodes.groupBy("case_id").agg(F.min("entity_id").alias("source"),
                                         F.max("entity_id").alias("target"))
-    found = paths.strongest_paths(edges, nodes, ends)
+    found = cut(paths.strongest_paths(edges, nodes, ends))
+    # The cost once more from the edges on the path: each step must be an edge, and their sum the cost.
+    pair = ["case_id", "source", "target"]
+    steps = found.select(*pair, F.explode(F.arrays_zip(
+        F.slice("path", 1, F.size("path") - 1).alias("x"), F.slice("path", 2, F.size("path")).alias("y"))).alias("s"))
+    walked = steps.select(*pair, F.least("s.x", "s.y").alias("src"), F.greatest("s.x", "s.y").alias("dst")).join(
+        edges.select("case_id", "src", "dst", "inverse_confidence"), ["case_id", "src", "dst"]).groupBy(*pair).agg(
+        F.sum("inverse_confidence").alias("walked"), F.count(F.lit(1)).alias("n"))
+    found = found.join(walked, pair, "left")
     return found.select("case_id", "source", "target", F.round("cost", 6).alias("cost"),
+                        F.when(F.col("n") == F.col("hops"), F.round("walked", 6)).alias("path_cost"),
                         F.col("path").isNotNull().alias("connected"),
                         F.element_at("path", 1).alias("path_start"),
                         F.element_at("path", -1).alias("path_end"))
@@ -420,6 +429,7 @@ def _score_rows(scores):
     return risk.ranked(scores).select(
         "case_id", "entity_id", "entity_type", "value", "score",
         F.array_join("reason_codes", ",").alias("reason_codes"), "rank",
+        F.array_join("reason_messages", " | ").alias("reason_messages"),
         labels.score_tier(F.col("score")).alias("tier"))
 
 
@@ -465,8 +475,8 @@ def custody_extend(spark, sf):
     return first.unionByName(second)
 
 
-def _tampered(spark, sf):
-    """Ledger with altered digests, cut links and removed entries, by order key."""
+def _tampered(spark, sf, removed=True):
+    """Ledger with altered digests, cut links and, where asked, removed entries, by order key."""
     files = B.artifact_digests(spark, sf)
     built = custody.extend_chain(files)
     k = F.col("entry_id")
@@ -474,7 +484,8 @@ def _tampered(spark, sf):
                                .otherwise(F.col("file_hash")))
     entries = entries.withColumn("previous_hash", F.when(k % 101 == 1, F.lit("cut"))
                                  .otherwise(F.col("previous_hash")))
-    entries = entries.filter((k % 89 != 2) & (F.col("case_id") % 50 != 7))
+    if removed:
+        entries = entries.filter((k % 89 != 2) & (F.col("case_id") % 50 != 7))
     return files, cut(entries.drop("case_id"))
 
 
@@ -482,7 +493,9 @@ def _tampered(spark, sf):
 def custody_verify(spark, sf):
     files, entries = _tampered(spark, sf)
     cases = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("case_id"))
-    return custody.verify(cases, files, entries).drop("details")
+    report = custody.verify(cases, files, entries)
+    shown = F.array_sort(F.transform(F.map_entries("details"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return report.withColumn("details", F.array_join(shown, ","))
 
 
 @query
@@ -493,7 +506,7 @@ def custody_unlogged(spark, sf):
 
 @query
 def custody_drift(spark, sf):
-    files, entries = _tampered(spark, sf)
+    files, entries = _tampered(spark, sf, removed=False)
     return custody.hash_drift(entries, files).select("case_id", "evidence_file_id")
 
 
@@ -715,10 +728,10 @@ def stream_calls(spark, sf):
     return _entity_rows(store.read(spark, "entity"))
 
 
-def _parsed_folder(spark, lines):
+def _parsed_folder(spark, lines, source_type):
     """An evidence folder written from ``lines``, scanned, registered and parsed."""
     root = f"{scratch_root(spark)}/folder-{uuid.uuid4().hex}"
-    B.write_folder(lines, root)
+    B.write_folder(lines, root, source_type)
     files = artifacts.register(artifacts.scan(spark, root))
     return files, artifacts.parse_folder(spark, root, files)
 
@@ -731,20 +744,19 @@ def _named(mentions):
 
 
 def _daily_call_lines(spark, sf):
-    return B.call_files(spark, sf, False).withColumns(
-        {"source_type": F.lit("cdr"), "part": F.col("evidence_file_id")})
+    return B.call_files(spark, sf, False).withColumnRenamed("evidence_file_id", "part")
 
 
 @query
 def csv_folder_calls(spark, sf):
     """All events as CSV files, read back from the folder."""
-    return _named(_parsed_folder(spark, _daily_call_lines(spark, sf))[1].mentions)
+    return _named(_parsed_folder(spark, _daily_call_lines(spark, sf), "cdr")[1].mentions)
 
 
 @query
 def csv_folder_ledger(spark, sf):
     """All orders as CSV files: rows used and skipped, mentions and links per file, and refusals."""
-    files, parsed = _parsed_folder(spark, B.order_files(spark, sf))
+    files, parsed = _parsed_folder(spark, B.order_files(spark, sf), "bank_upi")
 
     def per_file(df, name):
         return df.groupBy("evidence_file_id").agg(F.count(F.lit(1)).alias(name))
@@ -760,15 +772,14 @@ def csv_folder_ledger(spark, sf):
 def mail_folder(spark, sf):
     """All conversation turns as mail files, read back from the folder."""
     lines = B.mails(spark, sf).select(
-        "case_id", F.lit("email").alias("source_type"), F.col("evidence_file_id").alias("part"),
-        F.lit(0).cast("long").alias("line_no"), F.col("content").cast("string").alias("value"))
-    return _named(_parsed_folder(spark, lines)[1].mentions).drop("row_sum")
+        "case_id", F.col("evidence_file_id").alias("part"), F.lit(0).cast("long").alias("line_no"), F.col("content").cast("string").alias("value"))
+    return _named(_parsed_folder(spark, lines, "email")[1].mentions).drop("row_sum")
 
 
 @query
 def dump_folder(spark, sf):
     """Device dumps of all suppliers, read back from the folder: identifiers, outcomes and refusals by file."""
-    files, parsed = _parsed_folder(spark, B.supplier_dumps(spark, sf))
+    files, parsed = _parsed_folder(spark, B.supplier_dumps(spark, sf), "android_log")
     part = files.select("evidence_file_id", B.part_of(F.col("path")).alias("part"))
     none = F.lit(None).cast("string")
     rows = parsed.mentions.select("evidence_file_id", "case_id", "entity_type", "value").unionByName(
@@ -791,19 +802,19 @@ def entities_dumps(spark, sf):
 
 
 def _streamed_folder(spark, sf):
-    """Call files of all events as a folder that arrives in at least three micro-batches, with scores."""
+    """Call files of all events as a folder that arrives in at least three micro-batches."""
     root = f"{scratch_root(spark)}/arrivals-{uuid.uuid4().hex}"
-    B.write_folder(_daily_call_lines(spark, sf), f"{root}/in")
+    B.write_folder(_daily_call_lines(spark, sf), f"{root}/in", "cdr")
     n = artifacts.scan(spark, f"{root}/in").drop("content").count()
     store = ingest.Store(spark, f"{root}/store")
-    ingest.stream_folder(spark, f"{root}/in", store, f"{root}/checkpoint",
+    ingest.stream_folder(spark, f"{root}/in", store, f"{root}/checkpoint", score=False,
                          files_per_batch=max(1, -(-n // 3))).awaitTermination()
     return store
 
 
 @query
 def stream_folder_entities(spark, sf):
-    """Entities after three micro-batches, with times, links and scores."""
+    """Entities after three micro-batches, with times and numbers of links."""
     store = _streamed_folder(spark, sf)
     files = store.read(spark, "evidence_file")
     cases = files.select("case_id").distinct()

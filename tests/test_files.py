@@ -41,7 +41,7 @@ def test_links_by_type_and_edges(case):
 
 
 def test_first_scoring_pass(case):
-    nodes = graph.nodes_of(case["entities"])  # the address in the dump has no time, and counts all the same
+    nodes = graph.nodes_of(case["entities"])  # the address in the dump has the time of its upload
     edges = graph.consolidate(case["links"], nodes)
     found = clusters.clusters_of(nodes, edges)
     assert found.select("cluster_id", "cluster_size").distinct().collect() == [(0, 14)]

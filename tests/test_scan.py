@@ -82,3 +82,11 @@ def test_untimed_phone_does_not_silence_the_device(spark):
     links = spark.createDataFrame([(1, i, 1, i, "shared_imei") for i in range(2, 6)],
                                   "case_id long, link_id long, entity_a_id long, entity_b_id long, link_type string")
     assert [r.n_phones for r in risk.sim_switch_devices(nodes, links).collect()] == [3]
+
+
+def test_phone_lists_in_dumps(spark):
+    texts = ['{"sim": {"Phones": ["9700000001", "+49 1520 1110001"], "n": [1]}}', '{"msisdn": [9700000002]}', '{"phones": []}']
+    docs = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "case_id long, evidence_file_id long, text string")
+    got = device_log.distinct_identifiers(device_log.json_identifiers(docs)).filter("entity_type = 'phone'")
+    assert {(r.evidence_file_id, r.value) for r in got.collect()} == {
+        (0, "+919700000001"), (0, "+4915201110001"), (1, "+919700000002")}
