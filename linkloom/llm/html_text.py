@@ -1,7 +1,7 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
-Every element is main text or not. Its own evidence (element name, words of class, id and role, length
-and link density of its text) and a parent-child potential make up a model whose graph is the DOM tree
+Every element is main text or not. Its own evidence (element name, words of class, id and role of it and of
+the nearest element around it that has any, length and link density of its text) and a parent-child potential make up a model whose graph is the DOM tree
 itself, so that one upward and one downward pass of sum-product messages give the exact probability of
 every element. The weights are learned by maximum likelihood from labelled pages, whose expected counts
 come from the same passes. Text under elements that are more likely main text than not is kept.
@@ -27,13 +27,16 @@ from linkloom.llm import labelled_pages
 from linkloom.llm.texts import map_texts
 
 DEEPEST = 512
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?>[^<>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+)>""")
-ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|data-main|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A tag ends at ``>`` or where the next one begins; a quoted value may hold ``<`` and ``>`` where its quote is closed.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*+)((?>[^<>"'=]++|=\s*+(?:"[^"<]*+"|'[^'<]*+'|"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>]))?+|["'])*+)(?:>|(?=<)|\Z)""")
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
+READ = frozenset("class id role itemprop data-main hidden aria-hidden style".split())
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 RAW = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in ("script", "style", "noscript", "template", "iframe", "svg", "title", "textarea", "object")}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 "
                    "h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+SECTIONS = frozenset("address article aside dialog footer form header main menu nav section".split())
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "option"}
 #: An element that ends open elements of the given names, up to the nearest of the given borders.
 IMPLIED = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
@@ -121,14 +124,16 @@ def _words(node: int, rest: str, marks: dict[int, int]) -> tuple:
     out = []
     for m in ATTRIBUTE.finditer(rest):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name not in READ:
+            continue
         if name == "data-main":
             marks[node] = int(value == "1")
-        elif name == "hidden":
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             out.append("~hidden")
         elif name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            if re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
                 out.append("~hidden")
-        else:
+        elif name != "aria-hidden":
             out += [w.lower() for w in WORD.findall(value)]
     return tuple(out)
 
@@ -159,7 +164,7 @@ def forest(pages: list[Page], index: dict[str, int], grow: bool = False) -> Fore
             if k >= 0:
                 text.append(len(piece) - piece.count("\n") if not piece.isspace() else 0)
                 node.append(k + b)
-    own = np.bincount(np.array(node, np.int64), np.array(text, float), size) if size else np.empty(0)
+    own = np.bincount(np.array(node, np.int64), np.array(text, float), size).astype(float) if size else np.empty(0)
     order = np.argsort(depth, kind="stable")
     cuts = np.searchsorted(depth[order], np.arange(1, (depth.max() if size else 0) + 2))
     levels = [order[a:b] for a, b in zip(cuts, cuts[1:])]
@@ -178,12 +183,19 @@ def forest(pages: list[Page], index: dict[str, int], grow: bool = False) -> Fore
     place = (lambda f: index.setdefault(f, len(index))) if grow else index.get
     words = [w for p in pages for w in p.words]
     up = parent.tolist()
+    around: list[tuple] = [()] * size
     for k in range(size):
-        above = tags[up[k]] if up[k] >= 0 and depth[k] else "-"
-        key = (tags[k], above, words[k], near[k], whole[k], links[k])
+        above, inside = "-", ()
+        if up[k] >= 0 and depth[k]:
+            above = tags[up[k]]
+            inside = around[up[k]]
+        key = (tags[k], above, words[k], near[k], whole[k], links[k], inside)
+        section = (tags[k], f"{tags[k]} in {inside[0] if inside else '-'}") if tags[k] in SECTIONS else ()
+        around[k] = section + words[k] or inside
         ids = known.get(key)
         if ids is None:
-            made = [f"tag {key[0]}", f"tag {key[0]} in {above}", near[k], whole[k], links[k], f"{whole[k]} {links[k]}", *(f"word {w}" for w in key[2])]
+            made = [f"tag {key[0]}", f"tag {key[0]} in {above}", near[k], whole[k], links[k], f"{whole[k]} {links[k]}", *(f"word {w}" for w in key[2]),
+                    *(f"inside {w}" for w in inside)]
             ids = known[key] = [i for i in map(place, made) if i is not None]
         owner += [k] * len(ids)
         feature += ids
@@ -227,7 +239,7 @@ class Model:
     pair: np.ndarray
 
 
-def train(sources: list[str], rounds: int = 150, rate: float = 0.3, shrink: float = 0.02) -> Model:
+def train(sources: list[str], rounds: int = 250, rate: float = 0.3, shrink: float = 0.0005) -> Model:
     """Maximum likelihood with adaptive gradient steps. Elements inherit the nearest ``data-main`` mark."""
     pages, index = [parse(s) for s in sources], {}
     trees = forest(pages, index, grow=True)

@@ -214,6 +214,30 @@ def test_extraction(spark):
     assert html_text.extract(pages.limit(0), model).count() == 0
 
 
+LAYOUTS = [
+    '<body><header><h1>BAD site</h1><p>BAD tagline</p></header><main><article><h1>Title</h1>{}<aside class="sidebar"><p>BAD other things.</p></aside>{}'
+    '</article></main><footer><p>BAD rights</p></footer></body>',
+    '<body><div id="content"><h1>Title</h1>{}{}<div id="comments"><p>BAD {}</p><p>BAD two</p></div></div></body>',
+    '<body><div class="main-content"><h1>Title</h1>{}<form action="/s"><label>BAD</label><input><button>BAD</button></form>{}</div></body>',
+    '<body><div class="cookie-banner">BAD We use cookies. <button>BAD</button></div><div class="post"><h2>Title</h2>{}{}</div><div class="newsletter">BAD</div></body>',
+    '<table><tr><td class="nav"><a href=a>BAD</a><a href=b>BAD</a></td><td class="content">{}{}</td></tr></table>',
+    '<body><article>{}<div class="advert">BAD Buy this now</div><nav>BAD <a>x</a></nav>{}<div class="share">BAD<a>share</a></div></article></body>',
+    '<div role="navigation">BAD</div><div role="main">{}{}</div><div role="contentinfo">BAD</div>', "{}{}", "<body>{}{}</body>"]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_extraction_of_layouts(layout):
+    model, words = html_text.trained(), "Some long sentence of an article, with several words and more to come. " * 3
+    text = html_text.texts_of([layout.format(f"<p>First {words}</p>", f"<p>Last {words}</p>", words)], model)[0]
+    assert "First" in text and "Last" in text and "BAD" not in text
+
+
+def test_quotes_and_tag_marks_in_attributes():
+    page = html_text.parse("<p>one <img alt=\"a < b > c\"> two <a title='x<y' data-id=5 class=k>three</a><div\n<b>four <x")
+    assert "".join(t for _, t in page.pieces).split() == ["one", "two", "three", "four"]
+    assert page.words[page.tags.index("a")] == ("k",)
+
+
 def test_messages_are_exact_marginals():
     model = html_text.train(labelled_pages.pages(10))
     page = html_text.parse("<body><nav><a>x</a></nav><p>some words here, and more.</p></body>")
