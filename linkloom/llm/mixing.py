@@ -9,7 +9,7 @@ One pass tests the 63 inner points of a 64-part grid, which is six halvings at o
 The mix is realised as a plan of document copies. Each source's documents follow each other in a hashed
 order that differs from copy to copy, until the source's token quota is used up; that stream is spread
 evenly over the blocks, and the copies inside a block stand in another hashed order. No step holds a
-source in one task: streams are summed in hash buckets first, and blocks hold a fixed number of tokens.
+source in one task: streams are summed in hash buckets and spans of buckets first, and blocks hold a fixed number of tokens.
 
 Tokens are runs of non-white-space characters, and one end token for every document.
 
@@ -31,6 +31,7 @@ TARGET_ENTROPY = 0.95
 MAX_REPEATS = 4.0
 BLOCK_TOKENS = 1 << 17
 BUCKET_DOCS = 500
+SPAN_BUCKETS = 1000
 STEPS, PASSES = 6, 5
 
 
@@ -100,19 +101,27 @@ def fit(counted: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeats:
     return Mix(exponent, budget, max(1, -(-budget // block_tokens)), cut(weights))
 
 
-def plan(counted: DataFrame, mix: Mix) -> DataFrame:
+def plan(counted: DataFrame, mix: Mix, bucket_docs: int = BUCKET_DOCS, span_buckets: int = SPAN_BUCKETS) -> DataFrame:
     """The copies that fill every quota: doc_id, source, text_md5, copy, n_tokens, block, position, key."""
     w = mix.weights.select(F.col("source").alias("of"), F.col("tokens").alias("all_tokens"), "docs", "quota", "copies", "weight")
     copies = counted.join(w, F.col("source").eqNullSafe(F.col("of"))).filter("copies > 0")
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     copies = copies.withColumn("key", _key(F.col("copy"), "stream"))
     spread = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    parts = F.floor(F.col("docs") / BUCKET_DOCS) + 1
+    parts = F.floor(F.col("docs") / bucket_docs) + 1
     copies = copies.withColumn("bucket", F.shiftright(spread * parts, 32))
     stream = ["source", "copy", "bucket"]
-    sums = copies.groupBy(*stream).agg(F.sum("n_tokens").alias("here"))
-    before = Window.partitionBy("source").orderBy("copy", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*(F.col(c).alias(f"s_{c}") for c in stream), F.coalesce(F.sum("here").over(before), F.lit(0)).alias("shift"))
+    # Tokens before each bucket: inside a span of buckets, and before the span, so that no window holds a source's buckets.
+    span = F.expr(f"bucket div {span_buckets}").alias("span")
+    sums = cut(copies.groupBy(*stream).agg(F.sum("n_tokens").alias("here")).select(*stream, span, "here"))
+    before = Window.partitionBy("source").orderBy("copy", "span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = sums.groupBy("source", "copy", "span").agg(F.sum("here").alias("here")).select(
+        F.col("source").alias("p_source"), F.col("copy").alias("p_copy"), F.col("span").alias("p_span"),
+        F.coalesce(F.sum("here").over(before), F.lit(0)).alias("past"))
+    near = Window.partitionBy("source", "copy", "span").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("near", F.coalesce(F.sum("here").over(near), F.lit(0)))
+    sums = sums.join(spans, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("copy") == F.col("p_copy")) & (F.col("span") == F.col("p_span")))
+    sums = sums.select(*(F.col(c).alias(f"s_{c}") for c in stream), (F.col("near") + F.col("past")).alias("shift"))
     inside = Window.partitionBy(*stream).orderBy("key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     placed = copies.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     placed = placed.join(sums, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("copy") == F.col("s_copy"))

@@ -109,6 +109,8 @@ def test_mixing_meets_its_limits(spark, odd):
     free = mixing.fit(counted, target_entropy=0.7, max_repeats=1e9).weights.toPandas().weight.to_numpy()
     assert abs(-(free * np.log(free)).sum() - 0.7 * np.log(len(free))) < 1e-6
     plan = mixing.plan(counted, mixing.fit(counted, 0.9, 3.0, block_tokens=2000)).toPandas()
+    fine = mixing.plan(counted, mixing.fit(counted, 0.9, 3.0, block_tokens=2000), bucket_docs=20, span_buckets=3).toPandas()
+    assert fine.sort_values(["block", "position"], ignore_index=True).equals(plan.sort_values(["block", "position"], ignore_index=True))
     used = plan.groupby("source").n_tokens.sum()
     quota = w.set_index("source").quota
     assert ((quota - used >= 0) & (quota - used < 28)).all()
@@ -190,8 +192,8 @@ def test_secrets(spark, odd):
     assert "abcdefgh1" not in masked[0].text and masked[0].text.startswith("é ") and masked[1].text is None
 
 
-def test_extraction(spark):
-    model = html_text.trained()
+def test_extraction(spark, tree_model):
+    model = tree_model
     held = labelled_pages.pages(60, seed=5)
     right = total = 0
     for source in held:
@@ -225,16 +227,21 @@ LAYOUTS = [
     '<div role="navigation">BAD</div><div role="main">{}{}</div><div role="contentinfo">BAD</div>', "{}{}", "<body>{}{}</body>"]
 
 
+@pytest.fixture(scope="module")
+def tree_model():
+    return html_text.trained()
+
+
 @pytest.mark.parametrize("layout", LAYOUTS)
-def test_extraction_of_layouts(layout):
-    model, words = html_text.trained(), "Some long sentence of an article, with several words and more to come. " * 3
+def test_extraction_of_layouts(tree_model, layout):
+    model, words = tree_model, "Some long sentence of an article, with several words and more to come. " * 3
     text = html_text.texts_of([layout.format(f"<p>First {words}</p>", f"<p>Last {words}</p>", words)], model)[0]
     assert "First" in text and "Last" in text and "BAD" not in text
 
 
 def test_quotes_and_tag_marks_in_attributes():
     page = html_text.parse("<p>one <img alt=\"a < b > c\"> two <a title='x<y' data-id=5 class=k>three</a><div\n<b>four <x")
-    assert "".join(t for _, t in page.pieces).split() == ["one", "two", "three", "four"]
+    assert " ".join(t for _, t in page.pieces).split() == ["one", "two", "three", "four"]
     assert page.words[page.tags.index("a")] == ("k",)
 
 
