@@ -202,7 +202,8 @@ def verified(classes_with_text: DataFrame, threshold: float = THRESHOLD) -> tupl
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, text_sha256, class_id (smallest id with the same words), n_links
-    (other rows at or over the threshold), component_id (smallest id that links reach) and kept (is that id)."""
+    (other rows at or over the threshold), component_id (smallest id that links reach), kept (is that id), worded, and
+    component, the component itself: ids repeat or are null, so unrelated components can have one component_id."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     source = source.withColumn("text_sha256", F.sha2(F.col("text"), 256))
     rows = cut(documents_of(source, ["doc_id", "text_sha256"], prefix_length(threshold, recall)))
@@ -220,21 +221,22 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     named = classes.select("id", "digest", "class_id", "copies").join(links, "id", "left").join(reached, "id", "left")
     named = cut(named.withColumn("root", F.coalesce("root", "id")))
     smallest = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    named = named.join(smallest, "root").select(F.col("digest").alias("of"), "class_id", "component_id",
+    named = named.join(smallest, "root").select(F.col("digest").alias("of"), "class_id", "component_id", F.col("root").alias("component"),
                                                 (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.select("doc_id", "text_sha256", "digest").join(named, F.col("digest") == F.col("of"), "left")
-    component = F.coalesce("component_id", "doc_id")
+    smallest_id = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "text_sha256", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-                      component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
-                      F.col("digest").isNotNull().alias("worded"))
+                      smallest_id.alias("component_id"), F.col("doc_id").eqNullSafe(smallest_id).alias("kept"),
+                      F.col("digest").isNotNull().alias("worded"), "component")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of every component: the smallest id, and of that id's equal or similar texts
     the one with the smallest digest. Documents without a word all stay."""
     found = cut(join(docs, threshold))
-    best = found.filter("kept AND worded").groupBy("component_id").agg(F.min("text_sha256").alias("sha"), F.count(F.lit(1)).alias("rows"))
-    best = cut(best.select(F.col("component_id").alias("__id"), F.col("sha").alias("__sha"), "rows"))
+    best = found.filter("kept AND worded").groupBy("component").agg(
+        F.min("component_id").alias("__id"), F.min("text_sha256").alias("__sha"), F.count(F.lit(1)).alias("rows"))
+    best = cut(best.select("__id", "__sha", "rows"))
     names = docs.columns
     hashed = docs.withColumn("__sha", F.sha2(F.col("text").cast("string"), 256))
     worded = F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False))

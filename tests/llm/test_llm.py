@@ -376,6 +376,20 @@ def test_text_links(spark, odd):
     assert text_dedup.prefix_length(0.8, 0.9999) == 3
 
 
+def test_one_stays_of_every_component_not_of_every_id(spark):
+    """Unrelated texts without an id, or under one id, are components of their own; near and equal ones still go."""
+    rng = np.random.default_rng(6)
+    a, b, c, d, e = (" ".join(rng.integers(0, 9999, 60).astype(str)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (None, b + " x"), (5, c), (5, d), (5, d), (6, d + " x"), (None, c), (7, e), (8, e)]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in rows])
+    kept = sorted((str(r.doc_id), r.text) for r in text_dedup.keep_one(docs).collect())
+    lower = min((b, b + " x"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert kept == sorted([("None", a), ("None", lower), ("5", c), ("5", d), ("7", e)])
+    found = {(r.doc_id, r.text_sha256): (r.n_links, r.component_id) for r in text_dedup.join(docs).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert found[None, sha(a)] == (0, None) and found[None, sha(b)] == (2, None) and found[5, sha(d)] == (2, 5) and found[None, sha(c)] == (1, 5)
+
+
 def test_blocks_meet_all_pairs(spark):
     from linkloom.llm.groups import BLOCK_KEYS, in_blocks
 
