@@ -91,20 +91,20 @@ def runs(values: np.ndarray) -> Iterator[np.ndarray]:
     yield from np.split(order, cuts) if len(order) else ()
 
 
-def count_links(block: np.ndarray, copies: np.ndarray, alike) -> tuple[np.ndarray, Union]:
-    """Links of every row of one group, or of two blocks of it, and the sets that they form.
+def count_links(block: np.ndarray, bi: int, bj: int, copies: np.ndarray, alike) -> tuple[np.ndarray, Union]:
+    """Links of every row of one group in the task of its blocks ``bi`` and ``bj``, and the sets that they form.
+    Rows of one block are compared only where both are that block, as a task may have rows of one of two only.
     ``alike(a, b)`` is the matrix of links between two lists of rows."""
     links, union = np.zeros(len(block), np.int64), Union(len(block))
-    kinds = np.unique(block)
-    if len(kinds) == 2:
-        a, b = np.flatnonzero(block == kinds[0]), np.flatnonzero(block == kinds[1])
-        near = alike(a, b)
-        links[a], links[b] = near @ copies[b], near.T @ copies[a]
-    else:
-        a = b = np.arange(len(block))
-        near = alike(a, b)
+    a, b = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
+    if not len(a) or not len(b):
+        return links, union
+    near = alike(a, b)
+    if bi == bj:
         np.fill_diagonal(near, False)
         links = near @ copies
+    else:
+        links[a], links[b] = near @ copies[b], near.T @ copies[a]
     x, y = np.nonzero(near)
     union.join(a[x], b[y])
     return links, union

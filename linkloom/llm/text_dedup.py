@@ -188,7 +188,7 @@ def verified(classes_with_text: DataFrame, threshold: float = THRESHOLD) -> tupl
                 both = common(a, b)
                 return both >= threshold * (sizes[a][:, None] + sizes[b][None, :] - both) - 1e-6
 
-            links, union = count_links(block[at], copies[at], alike)
+            links, union = count_links(block[at], *key[2:], copies[at], alike)
             parts.append(pd.DataFrame({"id": ids[at], "links": links, "to": -1}))
             a, b = union.stars(ids[at])
             parts.append(pd.DataFrame({"id": a, "links": 0, "to": b}))

@@ -400,6 +400,21 @@ def test_blocks_meet_all_pairs(spark):
     assert placed.groupby(BLOCK_KEYS).size().max() < 40
 
 
+def test_links_of_groups_with_empty_blocks(spark):
+    """Weights split a few long texts into more blocks than they fill; each link is counted once."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for g, (copies, words) in enumerate([(2, 500), (3, 300), (2, 900), (4, 400), (2, 700), (3, 600)] * 4):
+        text = " ".join(rng.integers(0, 99_999, words).astype(str))
+        for k in range(copies):
+            want[len(rows)] = copies - 1
+            rows.append((len(rows), g, 1, 5 << 20 if copies == 2 else 1 << 20, f"{text} {k}"))
+    groups = spark.createDataFrame(rows, "id long, root long, copies long, weight long, text string")
+    links, stars = text_dedup.verified(groups)
+    assert {r.id: r.links for r in links.collect()} == want
+    assert all(rows[r.a][1] == rows[r.b][1] for r in stars.collect())
+
+
 def test_pipeline(spark, tmp_path, odd):
     import corpus_pipeline
 
