@@ -82,6 +82,8 @@ def in_blocks(rows: DataFrame, group: str, block_rows: int, weight: str | None =
 
 
 BLOCK_KEYS = ["big", "grp", "bi", "bj"]
+TILE = 1024
+"""rows and columns of the largest matrix of links"""
 
 
 def runs(values: np.ndarray) -> Iterator[np.ndarray]:
@@ -94,17 +96,19 @@ def runs(values: np.ndarray) -> Iterator[np.ndarray]:
 def count_links(block: np.ndarray, bi: int, bj: int, copies: np.ndarray, alike) -> tuple[np.ndarray, Union]:
     """Links of every row of one group in the task of its blocks ``bi`` and ``bj``, and the sets that they form.
     Rows of one block are compared only where both are that block, as a task may have rows of one of two only.
-    ``alike(a, b)`` is the matrix of links between two lists of rows."""
+    ``alike(a, b)`` is the matrix of links between two lists of rows, asked for in tiles of ``TILE`` rows a side."""
     links, union = np.zeros(len(block), np.int64), Union(len(block))
-    a, b = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
-    if not len(a) or not len(b):
-        return links, union
-    near = alike(a, b)
-    if bi == bj:
-        np.fill_diagonal(near, False)
-        links = near @ copies
-    else:
-        links[a], links[b] = near @ copies[b], near.T @ copies[a]
-    x, y = np.nonzero(near)
-    union.join(a[x], b[y])
+    rows, others = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
+    for i in range(0, len(rows), TILE):
+        for j in range(i if bi == bj else 0, len(others), TILE):
+            a, b = rows[i:i + TILE], others[j:j + TILE]
+            near = alike(a, b)
+            same = bi == bj and i == j
+            if same:
+                np.fill_diagonal(near, False)
+            links[a] += near @ copies[b]
+            if not same:
+                links[b] += near.T @ copies[a]
+            x, y = np.nonzero(near)
+            union.join(a[x], b[y])
     return links, union

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.groups import BLOCK_KEYS, Union, count_links, in_blocks, roots, runs
-from linkloom.llm.texts import map_texts
+from linkloom.llm.texts import map_texts, ragged
 from linkloom.runtime import cut
 
 WORDS = 5
@@ -152,23 +152,30 @@ def candidate_groups(classes: DataFrame, least: int) -> DataFrame:
 
 
 def _overlaps(sets: list[np.ndarray]):
-    """Function that gives the matrix of common members of two lists of sets, by numbers in ``sets``."""
+    """Function that gives the matrix of common members of two lists of sets, by numbers in ``sets``. Beside that
+    matrix it holds members of the asked sets only, ``width`` at a time."""
     sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
     members, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    often = np.bincount(column, minlength=len(members)) > 1
-    row, column = row[often[column]], (np.cumsum(often) - 1)[column[often[column]]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
     width = 4096
-    cuts = np.searchsorted(column, np.arange(0, int(often.sum()) + width, width))
+
+    def placed(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(a)), sizes[a]), column[ragged((ends - sizes)[a], sizes[a])]
 
     def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        (row_a, of_a), (row_b, of_b) = placed(a), placed(b)
+        both = np.intersect1d(of_a, of_b)
+        number = np.full(len(members), -1, np.int32)
+        number[both] = np.arange(len(both))
+        of_a, of_b = number[of_a], number[of_b]
         total = np.zeros((len(a), len(b)), np.float32)
-        for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
-            part = np.zeros((len(sets), min(width, column[y - 1] - k * width + 1) if y > x else 0), np.float32)
-            part[row[x:y], column[x:y] - k * width] = 1
-            total += part[a] @ part[b].T
+        for at in range(0, len(both), width):
+            part = []
+            for row, of, n in ((row_a, of_a, len(a)), (row_b, of_b, len(b))):
+                here = (of >= at) & (of < at + width)
+                part.append(np.zeros((n, min(width, len(both) - at)), np.float32))
+                part[-1][row[here], of[here] - at] = 1
+            total += part[0] @ part[1].T
         return total
 
     return common, sizes

@@ -415,6 +415,45 @@ def test_links_of_groups_with_empty_blocks(spark):
     assert all(rows[r.a][1] == rows[r.b][1] for r in stars.collect())
 
 
+def test_comparison_goes_in_tiles():
+    """Memory of a task is bounded in rows: 6,000 short near copies never meet in one matrix, and are all counted."""
+    import tracemalloc
+
+    from linkloom.llm import groups
+
+    rng = np.random.default_rng(9)
+    sets = [np.unique(np.concatenate([np.arange(14) + 100 * (i % 2), 1000 + rng.integers(0, 9000, 3)])).astype(np.uint64) for i in range(6000)]
+    copies = rng.integers(1, 4, len(sets))
+    want = np.zeros(len(sets), np.int64)
+    member = np.zeros((len(sets), 10_000), np.float32)
+    for i, s in enumerate(sets):
+        member[i, s.astype(int)] = 1
+    for i in range(0, len(sets), 500):
+        both = member[i:i + 500] @ member.T
+        near = both >= 0.7 * (member[i:i + 500].sum(1)[:, None] + member.sum(1)[None] - both) - 1e-6
+        near[np.arange(500), np.arange(i, i + 500)] = False
+        want[i:i + 500] = near @ copies
+    tracemalloc.start()
+    common, sizes = text_dedup._overlaps(sets)
+    shapes = []
+
+    def alike(a, b):
+        both = common(a, b)
+        shapes.append(both.shape)
+        return both >= 0.7 * (sizes[a][:, None] + sizes[b][None, :] - both) - 1e-6
+
+    links, union = groups.count_links(np.zeros(len(sets), int), 0, 0, copies, alike)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (links == want).all() and len(np.unique(union.root)) == 2
+    assert max(max(s) for s in shapes) <= groups.TILE and peak < 200 << 20
+    half = np.arange(len(sets)) % 3 // 2
+    parts = [groups.count_links(half, i, j, copies, alike)[0] for i, j in ((0, 0), (1, 1), (0, 1))]
+    kept = [half == 0, half == 1, half >= 0]
+    total = sum(np.where(k, p, 0) for k, p in zip(kept, parts))
+    assert (total == want).all()
+
+
 def test_pipeline(spark, tmp_path, odd):
     import corpus_pipeline
 
