@@ -311,6 +311,24 @@ def test_vector_links(spark):
     assert vector_dedup.dedup(frame.limit(0)).count() == 0
 
 
+def test_vector_pairs_with_a_common_direction(spark):
+    """Isolated near pairs among vectors of pairwise cosine about 0.8 are found, in windows and in whole labels."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(4500, 64)) * 0.5 + np.repeat(1.0, 64)
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.normal(size=(500, 64))
+    aside -= (aside * unit[:500]).sum(1, keepdims=True) * unit[:500]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    rows = np.concatenate([unit, 0.935 * unit[:500] + np.sqrt(1 - 0.935 ** 2) * aside])
+    links = (rows @ rows.T >= 0.93).sum(1) - 1
+    assert links[:500].sum() >= 500 and links.sum() < 1100
+    frame = spark.createDataFrame([(i, v.tolist(), 0, 0) for i, v in enumerate(rows)], VECTORS)
+    for window in (48, 600):
+        got = {r.vec_id: r.n_links for r in vector_dedup.dedup(frame, window=window).collect()}
+        lost = sum(int(links[i]) - got[i] for i in got) / links.sum()
+        assert 0 <= lost <= 0.004, lost
+
+
 def test_top_k(spark):
     frame = vectors(spark)
     got = nearest.top_k(nearest.prepared(frame), F.col("vec_id") % 20 == 0, 20, shard_rows=50, query_block=5)
