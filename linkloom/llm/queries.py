@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import html_text, languages, mixing, nearest, packing, quality, secret_scan, text_dedup, vector_dedup, warc
+from linkloom.llm import (byte_bpe, collocations, html_text, languages, mixing, nearest, packing, periodic, quality, secret_scan,
+                          text_dedup, vector_dedup, warc)
 from linkloom.runtime import cut
 
 QUALITY_THRESHOLD = 0.3
@@ -67,6 +68,19 @@ def op10_kd_tree_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return nearest.top_k(nearest.prepared(_table(spark, sf, "embeddings")), F.col("vec_id") % 20 == 0)
 
 
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf, "documents").select("lang", "text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(periodic.planted(_table(spark, sf, "documents"))))
+
+
+def op13_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return byte_bpe.digests(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                            public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_tree_extraction": op1_tree_extraction,
     "op2_mixture_languages": op2_mixture_languages,
@@ -78,10 +92,14 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_lsh_forest_join": op9_lsh_forest_join,
     "op10_kd_tree_top_k": op10_kd_tree_top_k,
+    "op11_collocations": op11_collocations,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLE: dict[str, str] = {
     "op4_temperature_mix": mixing.ORACLE_SQL,
     "op5_sorted_projections": vector_dedup.ORACLE_SQL,
     "op7_seekable_warc": warc.ORACLE_SQL,
     "op10_kd_tree_top_k": nearest.ORACLE_SQL,
+    "op11_collocations": collocations.ORACLE_SQL,
 }
