@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import math
 import os
-import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +31,9 @@ END_ID = 1
 SHARD_SEQUENCES = 512
 SHARD_PIECES = 200_000
 OPEN_PER_SHARD = 20_000
+KEPT_WORDS, GROUP_WORDS = 250_000, 2000
 #: A full stop or comma after a letter or digit and before white space is a token run of its own.
-SPLIT = re.compile(r"(?<=[^\W_])([.,])[ \n]")
+STOP = r"([\pL\pN])([.,])[ \n]"
 
 
 class WordIds:
@@ -40,7 +41,7 @@ class WordIds:
     letter or digit with a following full stop or comma, so the ids of a text are those of such words in
     order. Ids of the words met first are kept, up to ``kept_words``; all others are encoded when met."""
 
-    def __init__(self, path: str, kept_words: int = 500_000, longest_kept: int = 40):
+    def __init__(self, path: str, kept_words: int = KEPT_WORDS, longest_kept: int = 40):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,42 +50,56 @@ class WordIds:
         self.pool, self.used = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), 0
         self.start, self.size = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and how many each has. Words are encoded in joined groups; the
+        offsets of the ids tell whose they are."""
+        groups = [words[k:k + GROUP_WORDS] for k in range(0, len(words), GROUP_WORDS)]
+        ids, counts = [], []
+        for group, got in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            starts = np.cumsum([0, *[len(w) + 1 for w in group[:-1]]])
+            of = np.searchsorted(starts, [a for a, _ in got.offsets], side="right") - 1
+            ids.append(np.array(got.ids, self.pool.dtype))
+            counts.append(np.bincount(of, minlength=len(group)))
+        return np.concatenate(ids), np.concatenate(counts)
+
     def _add(self, words: list[str]) -> dict[str, int]:
-        """Encode new words; returns codes of those that are not kept, after the kept ones."""
-        extra: dict[str, int] = {}
-        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            ids, k = got.ids, len(self.code) + len(extra)
-            if k >= len(self.start):
-                self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * len(self.pool))
-            self.pool[self.used:self.used + len(ids)] = ids
-            self.start[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
-            if extra or k >= self.kept_words or len(word) > self.longest:
-                extra[word] = k
-            else:
-                self.code[word] = k
+        """Encode new words; returns codes of those that are not kept, after the kept ones. Words of ASCII
+        letters are encoded in lower case, as the tokenizer would, and share their ids."""
+        plain = [w.lower() if w.isascii() and "<" not in w else w for w in words]
+        distinct = list(dict.fromkeys(plain))
+        ids, counts = self._encoded(distinct)
+        starts = dict(zip(distinct, (self.used + np.cumsum(counts) - counts).tolist()))
+        sizes = dict(zip(distinct, counts.tolist()))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        self.pool[self.used:self.used + len(ids)] = ids
+        first, extra = len(self.code), {}
+        while first + len(words) > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        self.start[first:first + len(words)] = [starts[w] for w in plain]
+        self.size[first:first + len(words)] = [sizes[w] for w in plain]
+        stay = min(max(0, self.kept_words - first), sum(len(w) <= self.longest for w in words))
+        self.code.update(zip(words[:stay], range(first, first + stay)))
+        extra = dict(zip(words[stay:], range(first + stay, first + len(words))))
+        kept = max([self.used, *[starts[w] + sizes[w] for w in plain[:stay]]])
+        self.used = kept
         return extra
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and where each text begins and ends in them."""
-        split = [SPLIT.sub(r" \1 ", t).replace("\n", " ").split(" ") for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        words = list(chain.from_iterable(split))
+        """Ids of all texts, one after the other, and where each text begins and ends in them. Words are split
+        and told apart by Arrow; only the distinct ones of the list become Python strings."""
+        lone = pc.replace_substring_regex(pa.array(texts, pa.large_string()), STOP, r"\1 \2 ")
+        split = pc.split_pattern(pc.replace_substring(lone, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         known = list(map(self.code.get, words))
-        used, extra = self.used, {}
         if None in known:
-            missing = {w for w, k in zip(words, known) if k is None}
-            extra = self._add(sorted(missing, key=len))
-            known = [k if k is not None else extra.get(w, self.code.get(w)) for w, k in zip(words, known)] if extra \
-                else list(map(self.code.__getitem__, words))
-        codes = np.array(known, np.int64)
+            extra = self._add(sorted([w for w, k in zip(words, known) if k is None], key=len))
+            known = [self.code[w] if w in self.code else extra[w] for w in words]
+        codes = np.array(known, np.int64)[coded.indices.to_numpy()] if words else np.empty(0, np.int64)
         sizes = self.size[codes].astype(np.int64)
         ids = self.pool[ragged(self.start[codes].astype(np.int64), sizes)]
-        if extra:
-            self.used = int(self.start[len(self.code)])
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy()]
         return ids, ends
 
 

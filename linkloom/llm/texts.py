@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -25,6 +27,15 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
             yield batch.slice(a, b - a)
 
 
+def release() -> None:
+    """Give memory that a finished task has freed back to the system, as Spark goes on to use its worker."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_texts(df: DataFrame, fn: Callable[[list[str]], dict[str, object]], schema: str, keep: list[str],
               text: str = "text", setup: Callable[[], object] | None = None) -> DataFrame:
     """Narrow pass over whole texts: ``fn`` takes a list of texts (null as empty) and returns columns of the
@@ -32,11 +43,16 @@ def map_texts(df: DataFrame, fn: Callable[[list[str]], dict[str, object]], schem
     made once per task. ``keep`` may hold the text column itself if that is ``text``."""
     def run(batches):
         state = [setup()] if setup else []
-        for batch in batches:
-            for part in slices(batch):
-                made = fn([t or "" for t in part.column("text").to_pylist()], *state)
-                columns = {k: part.column(k) for k in keep} | made
-                yield pa.RecordBatch.from_pydict({k: columns[k] for k in [*keep, *made]}, schema=target)
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    made = fn([t or "" for t in part.column("text").to_pylist()], *state)
+                    columns = {k: part.column(k) for k in keep} | made
+                    yield pa.RecordBatch.from_pydict({k: columns[k] for k in [*keep, *made]}, schema=target)
+                    columns = made = None
+        finally:
+            state.clear()
+            release()
 
     kept = [df.schema[k] for k in keep]
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -61,7 +77,7 @@ class WordTable:
     """Per-word numbers for whole texts. ``measure`` maps a list of words to an array with one row per word;
     rows of the words met first are kept, up to ``kept``, and all others are measured when met."""
 
-    def __init__(self, measure: Callable[[list[str]], np.ndarray], width: int, kept: int = 300_000, longest: int = 40):
+    def __init__(self, measure: Callable[[list[str]], np.ndarray], width: int, kept: int = 200_000, longest: int = 40):
         self.measure, self.kept, self.longest = measure, kept, longest
         self.code: dict[str, int] = {}
         self.rows = np.zeros((1024, width), np.float32)
