@@ -42,7 +42,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 SHARES = (0.25, 0.5, 1.0)
 FILTER_BITS = 25
 """binary logarithm of the bits of a bitmap"""
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 PARTS = 64
 """parts of a language whose best rows are found apart before they meet"""
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
