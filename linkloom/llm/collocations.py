@@ -302,8 +302,9 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, shares: tuple[floa
     for wave in range(len(shares)):
         heads = single.join(cutoffs, "lang").join(sizes, "lang").filter(F.col("f") <= F.col(f"u{wave}"))
         if wave:
-            heads = heads.filter(F.col("f") > F.col(f"u{wave - 1}")).join(floor, "lang", "left").filter(
-                F.col("floor").isNull() | (bound >= F.col("floor")))
+            heads = heads.filter(F.col("f") > F.col(f"u{wave - 1}"))
+        if floor is not None:
+            heads = heads.join(floor, "lang", "left").filter(F.col("floor").isNull() | (bound >= F.col("floor")))
         level = cut(heads.select(*KEY, "f"))
         grown = []
         for m in range(2, LONGEST + 1):
