@@ -61,6 +61,41 @@ def test_strong_detour_beats_weak_shortcut(spark):
     assert paths.strongest_paths(edges, nodes, asked).first().path == [1, 2, 3]
 
 
+def test_strongest_paths_against_dijkstra(spark):
+    """Random graphs in two cases, all pairs of some nodes: cost, a real path of that cost, and no path."""
+    rng = random.Random(4)
+    rows, weight = [], {}
+    for case in (1, 2):
+        for _ in range(90):
+            a, b = sorted(rng.sample(range(1, 50), 2))
+            weight[case, a, b] = weight[case, b, a] = w = rng.choice([1.25, 1.25, 1.5, 2.0, 7.0, 30.0])
+            rows.append((case, a, b, w))
+    edges = spark.createDataFrame(rows, "case_id long, src long, dst long, inverse_confidence double").groupBy(
+        "case_id", "src", "dst").agg(F.last("inverse_confidence").alias("inverse_confidence"))
+    weight = {}
+    for r in edges.collect():
+        weight[r.case_id, r.src, r.dst] = weight[r.case_id, r.dst, r.src] = r.inverse_confidence
+    nodes = spark.createDataFrame([(c, i) for c in (1, 2) for i in range(1, 60)], "case_id long, entity_id long")
+    ends = [(c, s, t) for c in (1, 2) for s in (1, 2, 3, 55) for t in range(1, 60, 3)]
+    got = {(r.case_id, r.source, r.target): r for r in paths.strongest_paths(edges, nodes, spark.createDataFrame(
+        ends, "case_id long, source long, target long")).collect()}
+    assert set(got) == set(ends)
+    for case, s, t in ends:
+        cost, todo = {s: 0.0}, [s]
+        while todo:
+            x = todo.pop()
+            for (c, a, b), w in weight.items():
+                if c == case and a == x and cost[x] + w < cost.get(b, 1e9) - 1e-9:
+                    cost[b] = cost[x] + w
+                    todo.append(b)
+        r = got[case, s, t]
+        if t not in cost:
+            assert r.path is None and r.cost is None
+            continue
+        assert abs(r.cost - cost[t]) < 1e-9 and (r.path[0], r.path[-1], len(r.path)) == (s, t, r.hops + 1)
+        assert abs(sum(weight[case, a, b] for a, b in zip(r.path, r.path[1:])) - cost[t]) < 1e-9
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(11)
     pairs = [(rng.randrange(1, 400), rng.randrange(1, 400)) for _ in range(260)]
