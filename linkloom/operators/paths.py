@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators.graph import both_ways
-from linkloom.runtime import cut
+from linkloom.runtime import Appended, cut
 
 PAIR = ["case_id", "source", "target"]
 LABEL = [*PAIR, "side", "node", "cost", "hops", "pred"]
@@ -42,20 +40,26 @@ def strongest_paths(edges: DataFrame, nodes: DataFrame, pairs: DataFrame) -> Dat
     met = open_.filter("source = target AND side = 0").select(*PAIR, _meeting(
         F.lit(0.0), F.lit(0), F.col("node"), none, none).alias("met"))
     state = _state(open_, met, bands)
-    settled: list[DataFrame] = []
-    while not state.filter("searching").isEmpty():
+    settled = Appended(open_.select(*LABEL))
+    covered = None
+    while going := state.filter("searching").count():
+        if covered is not None and 2 * going <= covered:
+            # Most pairs are done: later rounds read only the edges of cases that are still searched.
+            adjacent = cut(adjacent.join(state.filter("searching").select("case_id").distinct(), "case_id", "left_semi"))
+        if covered is None or 2 * going <= covered:
+            covered = going
         labels = open_.join(state.filter("searching").drop("searching"), PAIR)
         forward = F.col("side") == FORWARD
         own, other = F.when(forward, F.col("f")).otherwise(F.col("b")), F.when(forward, F.col("b")).otherwise(F.col("f"))
         labels = labels.filter(F.col("met").isNull() | (F.col("cost") + other < F.col("met.cost")))
         final = F.col("cost") < own + F.col("band")
-        fresh = cut(labels.filter(final).select(*LABEL))
-        settled.append(fresh)
+        fresh = settled.add(labels.filter(final).select(*LABEL))
         step = fresh.join(adjacent, ["case_id", "node"]).select(
             *PAIR, "side", F.col("peer").alias("node"), (F.col("cost") + F.col("inverse_confidence")).alias("cost"),
             (F.col("hops") + 1).alias("hops"), F.col("node").alias("pred"))
         changing = labels.filter(~final).select(*LABEL).unionByName(step).withColumn("final", F.lit(False))
-        merged = cut(_by_node(changing.unionByName(_all(settled).withColumn("final", F.lit(True)))))
+        done = settled.read().join(state.filter("searching").select(*PAIR), PAIR, "left_semi")
+        merged = cut(_by_node(changing.unionByName(done.withColumn("final", F.lit(True)))))
         open_ = merged.select(*PAIR, "node", F.inline(F.filter(F.array(
             F.struct(F.lit(FORWARD).alias("side"), "f.*", F.col("f_final").alias("final")),
             F.struct(F.lit(BACKWARD).alias("side"), "b.*", F.col("b_final").alias("final"))),
@@ -72,10 +76,6 @@ def _meeting(cost: Column, hops: Column, node: Column, before: Column, after: Co
     return F.struct(cost.alias("cost"), hops.alias("hops"), node.alias("node"), before.alias("before"), after.alias("after"))
 
 
-def _all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def _state(open_: DataFrame, met: DataFrame, bands: DataFrame) -> DataFrame:
     """Per pair: least open cost of each side, best meeting so far, band, and whether to go on."""
     least = open_.groupBy(*PAIR).agg(F.min(F.when(F.col("side") == FORWARD, F.col("cost"))).alias("f"),
@@ -98,17 +98,17 @@ def _by_node(labels: DataFrame) -> DataFrame:
         "NOT f_final OR NOT b_final")
 
 
-def _walked(found: DataFrame, settled: list[DataFrame]) -> DataFrame:
+def _walked(found: DataFrame, settled: Appended) -> DataFrame:
     """Paths of the answers: from the meeting node back to both ends along the nodes that labels came from."""
-    steps = [found.select(*PAIR, F.lit(0).alias("at"), "node")]
-    if settled:
-        came = _all(settled).select(*PAIR, "side", "node", "pred")
-        sides = F.array(F.struct(F.lit(FORWARD).alias("side"), F.lit(-1).alias("at"), F.col("before").alias("node")),
-                        F.struct(F.lit(BACKWARD).alias("side"), F.lit(1).alias("at"), F.col("after").alias("node")))
-        here = found.select(*PAIR, F.inline(sides)).filter("node IS NOT NULL")
-        while not (here := cut(here)).isEmpty():
-            steps.append(here.select(*PAIR, "at", "node"))
-            here = here.join(came, [*PAIR, "side", "node"]).filter("pred IS NOT NULL").select(
-                *PAIR, "side", (F.col("at") + F.signum("at").cast("int")).alias("at"), F.col("pred").alias("node"))
+    came = cut(settled.read().filter("pred IS NOT NULL").join(found.select(*PAIR), PAIR, "left_semi").select(
+        *PAIR, "side", "node", "pred"))
+    sides = F.array(F.struct(F.lit(FORWARD).alias("side"), F.lit(-1).alias("at"), F.col("before").alias("node")),
+                    F.struct(F.lit(BACKWARD).alias("side"), F.lit(1).alias("at"), F.col("after").alias("node")))
+    here = found.select(*PAIR, F.inline(sides)).filter("node IS NOT NULL")
+    steps = Appended(here)
+    while not (here := steps.add(here)).isEmpty():
+        here = here.join(came, [*PAIR, "side", "node"]).select(
+            *PAIR, "side", (F.col("at") + F.signum("at").cast("int")).alias("at"), F.col("pred").alias("node"))
     path = F.transform(F.sort_array(F.collect_list(F.struct("at", "node"))), lambda s: s["node"])
-    return found.select(*PAIR, "cost", "hops").join(_all(steps).groupBy(*PAIR).agg(path.alias("path")), PAIR)
+    places = steps.read().select(*PAIR, "at", "node").unionByName(found.select(*PAIR, F.lit(0).alias("at"), "node"))
+    return found.select(*PAIR, "cost", "hops").join(places.groupBy(*PAIR).agg(path.alias("path")), PAIR)

@@ -39,6 +39,27 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Appended:
+    """A table in the shared scratch folder that grows by parts; parts are written once, and all are one scan."""
+
+    def __init__(self, like: DataFrame):
+        self.spark, self.schema = like.sparkSession, like.schema
+        self.path = f"{scratch_root(self.spark)}/parts-{uuid.uuid4().hex}"
+        self.parts = 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write a part; returns it as read back."""
+        path = f"{self.path}/part={self.parts}"
+        df.write.parquet(path)
+        self.parts += 1
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def read(self) -> DataFrame:
+        if not self.parts:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.names)
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since the epoch of a zone-less timestamp, independent of session zone."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
