@@ -14,6 +14,7 @@ from linkloom.functions import labels
 from linkloom.operators.clusters import median_sizes
 from linkloom.operators.graph import both_ways
 from linkloom.operators.numbering import id_buckets, number_within
+from linkloom.operators.reach import reachable
 from linkloom.runtime import cut, micros
 
 KEY = ["case_id", "entity_id"]
@@ -132,7 +133,8 @@ def flagged_peer(links: DataFrame, history: DataFrame, base: DataFrame | None =
 
     Without ``base`` only stored scores count (snapshot, order-free). With ``base`` (score of
     the other rules per entity) entities are taken to be scored in id order, so scores of this
-    pass reach peers with larger ids.
+    pass reach peers with larger ids; chains of entities that hand the flag on take logarithmically
+    many rounds.
     """
     peers = _device_peers(links)
     hist = history.select("case_id", F.col("entity_id").alias("peer"), "history")
@@ -145,18 +147,20 @@ def flagged_peer(links: DataFrame, history: DataFrame, base: DataFrame | None =
     upward = peers.filter("peer < entity_id").select("case_id", "peer", "entity_id").distinct()
     by_history = peers.join(hist.filter(F.col("history") >= V.FLAGGED_MIN_SCORE),
                             ["case_id", "peer"], "left_semi").select(*KEY).distinct()
-    flagged = cut(by_history)
     # A scored entity passes the flag on if it scores enough by itself, or if it is flagged and
     # at least one other rule fired (every rule weight lifts the flag weight past the limit).
-    strong = scores.filter(F.col("base") >= V.FLAGGED_MIN_SCORE).select(*KEY)
-    relays = scores.filter((F.col("base") > 0) & (F.col("base") < V.FLAGGED_MIN_SCORE)).select(*KEY)
-    frontier = cut(strong.unionByName(flagged.join(relays, KEY, "left_semi")))
-    while not frontier.isEmpty():
-        reached = upward.join(frontier.withColumnRenamed("entity_id", "peer"),
-                              ["case_id", "peer"], "left_semi").select(*KEY).distinct()
-        fresh = cut(reached.join(flagged, KEY, "left_anti"))
-        flagged = cut(flagged.unionByName(fresh))
-        frontier = fresh.join(relays, KEY, "left_semi")
+    strong = cut(scores.filter(F.col("base") >= V.FLAGGED_MIN_SCORE).select(*KEY))
+    relays = cut(scores.filter((F.col("base") > 0) & (F.col("base") < V.FLAGGED_MIN_SCORE)).select(*KEY))
+    upward = cut(upward)
+
+    def above(givers: DataFrame) -> DataFrame:
+        return upward.join(givers.withColumnRenamed("entity_id", "peer"), ["case_id", "peer"], "left_semi")
+
+    first = above(strong).select(*KEY).unionByName(by_history).join(relays, KEY, "left_semi")
+    between = above(relays).join(relays, KEY, "left_semi").select(
+        "case_id", F.col("peer").alias("src"), F.col("entity_id").alias("dst"))
+    givers = strong.unionByName(reachable(between, first))
+    flagged = cut(by_history.unionByName(above(givers).select(*KEY)).distinct())
     lift = V.REASON_WEIGHTS[V.FLAGGED_PEER]
     this_pass = scores.join(flagged.withColumn("f", F.lit(1)), KEY, "left").select(
         "case_id", F.col("entity_id").alias("peer"),

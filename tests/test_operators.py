@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.operators import brief, checks, clusters, custody, graph, numbering, paths, risk
+from linkloom.operators import brief, checks, clusters, custody, graph, numbering, paths, reach, risk
 
 T0 = "2024-03-15 10:00:00"
 
@@ -171,6 +171,39 @@ def test_sequential_flags_against_loop(spark):
     assert got == want
 
 
+def test_reachable_against_search(spark):
+    rng = random.Random(8)
+    edges = {(c, *sorted(rng.sample(range(400), 2))) for c in (1, 2) for _ in range(380)}
+    edges |= {(1, 1000 + i, 1001 + i) for i in range(200)} | {(1, 5, 1000), (2, 1000, 1001)}
+    seeds = {(1, 3), (1, 5), (1, 1150), (2, 7), (2, 9), (3, 1)}
+    want, todo = set(seeds), list(seeds)
+    while todo:
+        x = todo.pop()
+        for c, a, b in edges:
+            if (c, a) == x and (c, b) not in want:
+                want.add((c, b))
+                todo.append((c, b))
+    frame = spark.createDataFrame(sorted(edges), "case_id long, src long, dst long")
+    got = reach.reachable(frame, spark.createDataFrame(sorted(seeds), "case_id long, entity_id long")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert reach.reachable(frame, spark.createDataFrame([], "case_id long, entity_id long")).count() == 0
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    """5,000 entities of which each shares a device with the next: the flag reaches the last one."""
+    n, rounds = 5000, []
+    plain = reach.cut
+    monkeypatch.setattr(reach, "cut", lambda df: rounds.append(1) or plain(df))
+    links = spark.range(1, n).select(F.lit(1).cast("long").alias("case_id"), F.col("id").alias("link_id"), F.col("id").alias("entity_a_id"),
+                                     (F.col("id") + 1).alias("entity_b_id"), F.lit("shared_mac").alias("link_type"))
+    base = spark.range(1, n + 1).select(F.lit(1).cast("long").alias("case_id"), F.col("id").alias("entity_id"),
+                                        F.when(F.col("id") == 1, 45).otherwise(20).alias("score"))
+    none = base.select("case_id", "entity_id", F.col("score").alias("history")).filter("false")
+    got = risk.flagged_peer(links, none, base)
+    assert got.count() == n - 1 and got.agg(F.min("peer_score"), F.max("peer_score")).first() == (45, 55)
+    assert len(rounds) <= 20
+
+
 def ledger(spark, n=5):
     files = spark.createDataFrame([(1, i, f"{i:064d}") for i in range(1, n + 1)],
                                   "case_id long, evidence_file_id long, file_hash string")
