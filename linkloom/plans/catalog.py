@@ -801,13 +801,13 @@ def entities_dumps(spark, sf):
     return _entity_rows(resolve.resolve_entities(artifacts.dated(records.device_evidence(found)[0], files)))
 
 
-def _streamed_folder(spark, sf):
+def _streamed_folder(spark, sf, score=False, epoch_batches=ingest.EPOCH_BATCHES):
     """Call files of all events as a folder that arrives in at least three micro-batches."""
     root = f"{scratch_root(spark)}/arrivals-{uuid.uuid4().hex}"
     B.write_folder(_daily_call_lines(spark, sf), f"{root}/in", "cdr")
     n = artifacts.scan(spark, f"{root}/in").drop("content").count()
-    store = ingest.Store(spark, f"{root}/store")
-    ingest.stream_folder(spark, f"{root}/in", store, f"{root}/checkpoint", score=False,
+    store = ingest.Store(spark, f"{root}/store", epoch_batches)
+    ingest.stream_folder(spark, f"{root}/in", store, f"{root}/checkpoint", score=score, peers=None,
                          files_per_batch=max(1, -(-n // 3))).awaitTermination()
     return store
 
@@ -837,6 +837,20 @@ def stream_folder_custody(spark, sf):
     return report.select("case_id", "is_valid", "total_entries", "unlogged_files")
 
 
+@query
+def stream_folder_scores(spark, sf):
+    """Last scores, reasons and cluster sizes after three micro-batches, the last of them upon a snapshot: cases
+    whose files arrive in several batches are scored again over components merged from batch to batch."""
+    store = _streamed_folder(spark, sf, True, epoch_batches=2)
+    key = ["case_id", "entity_id"]
+    last = store.read(spark, "risk_score").groupBy(*key).agg(
+        F.max_by(F.struct("score", "reason_codes"), "run_id").alias("s"))
+    sizes = store.latest(spark, "component", None, None)
+    sizes = sizes.join(sizes.groupBy("case_id", "root").agg(F.count(F.lit(1)).alias("cluster_size")), ["case_id", "root"])
+    return store.read(spark, "entity").join(last, key, "left").join(sizes, key, "left").select(
+        "case_id", "entity_type", "value", "s.score", F.array_join("s.reason_codes", ",").alias("reasons"), "cluster_size")
+
+
 @query
 def risk_list_phones(spark, sf):
     """The risk list filtered to phones, with rules 1 and 2."""

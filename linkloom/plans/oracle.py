@@ -753,6 +753,14 @@ FROM em LEFT JOIN dg ON dg.case_id = em.case_id AND dg.k = t || v"""
 ORACLE["stream_folder_custody"] = _with(_calls("%Y%m%d")) + """
 SELECT case_id, true AS is_valid, count(DISTINCT file) AS total_entries, 0 AS unlogged_files FROM r GROUP BY case_id"""
 
+_DAILY_ACCEPTED = _calls("%Y%m%d").replace("FROM r)", "FROM r WHERE file % 10 <> 2)").replace(
+    "FROM r\n", "FROM r WHERE file % 10 <> 2\n").replace(
+    "event_id AS rec, ts,", "event_id AS rec, date_trunc('second', ts) AS ts,")
+ORACLE["stream_folder_scores"] = _with(
+    _DAILY_ACCEPTED, _ENT, _link(), _edge(), _CC, _DEG, _SIM_REF_24, _HUB, _SCORE) + """
+SELECT sc.case_id, t AS entity_type, v AS value, score, codes AS reasons, size AS cluster_size
+FROM sc JOIN clu USING (case_id, eid)"""
+
 _CROSS = """
 ru AS (SELECT * FROM (VALUES (0, 'device_imei', 'mac_address', 'shared_mac', 0.98::DOUBLE),
    (0, 'device_imei', 'ip_address', 'shared_ip_subnet', 0.90), (0, 'device_imei', 'phone', 'shared_imei', 0.95),
