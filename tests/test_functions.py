@@ -51,20 +51,37 @@ def test_amounts_and_accounts(spark):
     assert apply(spark, [" pier-acc 1 ", "A@B", "ab", None], N.account) == ["PIERACC1", "a@b", None, None]
 
 
+def starred(text):
+    """All but the last four characters as stars."""
+    return "*" * max(0, len(text) - 4) + text[-4:]
+
+
 def test_masks(spark):
-    goldens = [("+919876543210", "phone", "+91******3210"), ("9876543210", "phone", "******3210"),
-               ("+14155552671", "phone", "+1******2671"), ("123", "phone", "123"),
-               ("123456789012", "account", "********9012"), ("mule1@okhdfcbank", "account", "*ule1@okhdfcbank"),
-               ("harbor.pay@upi", "account", "******.pay@upi"), ("@x", "account", "*@x"),
-               ("351111222233334", "device_imei", "***********3334"), ("a@b.com", "email_address", "*@b.com"),
-               ("investigator@agency.gov", "email_address", "i**********r@agency.gov"),
-               ("10.0.0.1", "ip_address", "10.0.0.1"), ("", "phone", "")]
-    df = spark.createDataFrame(goldens, "v string, t string, want string")
-    for r in df.select("want", mask.identifier(F.col("v"), F.col("t")).alias("got")).collect():
-        assert r.got == r.want
-    assert apply(spark, ["+14155552671", "a@b.com", "351111222233334", "12345", "1234", "abc"],
-                 lambda c: mask.identifier(c)) == [
-        "+1******2671", "*@b.com", "***********3334", "*2345", "1234", "abc"]
+    """Inputs are made from the rules: every user length from none to six, digit runs around the limits of 5 and of
+    14 to 16 digits, numbers with no, one-digit and two-digit country prefixes."""
+    digits = "8046213957208461"
+    cases = []
+    for n in range(0, 7):
+        user = "quartz"[:n]
+        cases.append((f"{user}@bay", "account", ("*" if n <= 1 else "*" * (n - 1) + user[-1] if n <= 4 else starred(user)) + "@bay"))
+        cases.append((f"{user}@bay.example", "email_address",
+                      ("*" * n if n <= 2 else user[0] + "*" * (n - 2) + user[-1]) + "@bay.example"))
+    for n in range(1, 17):
+        cases += [(digits[:n], kind, starred(digits[:n])) for kind in ("phone", "account", "device_imei")]
+        prefix = "+80" if n > 2 else "+8" if n > 1 else "+"
+        cases.append(("+" + digits[:n], "phone", prefix + starred(digits[len(prefix) - 1:n])))
+    for country in ("1", "7"):
+        for n in (9, 10):
+            cases.append((f"+{country}{digits[:n]}", "phone", f"+{country}" + starred(digits[:n])))
+    cases += [("", kind, "") for kind in ("phone", "account", "email_address")]
+    cases += [("203.0.113.77", "ip_address", "203.0.113.77"), ("no at sign", "email_address", "no at sign")]
+    df = spark.createDataFrame(cases, "v string, t string, want string")
+    for r in df.select("v", "t", "want", mask.identifier(F.col("v"), F.col("t")).alias("got")).collect():
+        assert r.got == r.want, r
+    # Without a type the look decides: a plus sign and a digit, an at sign, then the number of digits.
+    looks = ["+33" + digits[:8], "quartz@bay.example", *(digits[:n] for n in (4, 5, 13, 14, 16)), "plain words"]
+    assert apply(spark, looks, lambda c: mask.identifier(c)) == [
+        "+33" + starred(digits[:8]), "q****z@bay.example", digits[:4], *(starred(digits[:n]) for n in (5, 13, 14, 16)), "plain words"]
 
 
 def test_compounding(spark):
