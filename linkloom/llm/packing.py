@@ -31,7 +31,7 @@ END_ID = 1
 SHARD_SEQUENCES = 512
 SHARD_PIECES = 200_000
 OPEN_PER_SHARD = 20_000
-KEPT_WORDS, GROUP_WORDS = 250_000, 2000
+KEPT_WORDS, GROUP_WORDS = 400_000, 2000
 #: A full stop or comma after a letter or digit and before white space is a token run of its own.
 STOP = r"([\pL\pN])([.,])[ \n]"
 
