@@ -2,7 +2,7 @@
 
 Character n-gram frequencies of every language give each word a log-likelihood per language. The words
 of a document are drawn from a mixture: expectation-maximisation estimates the language proportions.
-Sets of one, two and three languages, in the order of their proportions, compete by log-likelihood
+Sets of one, two and more languages, in the order of their proportions, compete by log-likelihood
 minus a penalty for every language that grows with the logarithm of the word count; the winner's
 largest proportion is the prediction.
 
@@ -31,7 +31,6 @@ SAMPLE_DOCS = 20_000
 SMOOTHING = 0.5
 PENALTY = 4.0
 SHORT_ROUNDS, ROUNDS = 4, 10
-MOST_LANGUAGES = 3
 NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -43,7 +42,9 @@ class Languages:
 
 
 def letters(words: list[str]) -> list[str]:
-    return [NO_LETTERS.sub("", w).lower() for w in words]
+    """Letters only; digits in other forms (``²``, ``½``) are none."""
+    plain = [NO_LETTERS.sub("", w).lower() for w in words]
+    return [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in plain]
 
 
 def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Languages:
@@ -135,7 +136,7 @@ def decide(rows: np.ndarray, counts: np.ndarray, penalty: float = PENALTY):
             share[open_], _, bound[open_] = mixtures(among(open_), counts[open_], share[open_], rounds)
         open_ &= bound - 2 * price > best
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
-    for k in range(2, min(size, MOST_LANGUAGES) + 1):
+    for k in range(2, size + 1):
         open_ &= bound - k * price > best
         if not open_.any():
             break
