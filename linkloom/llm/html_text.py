@@ -7,9 +7,11 @@ every element. The weights are learned by maximum likelihood from labelled pages
 come from the same passes. Text under elements that are more likely main text than not is kept.
 
 Pages are parsed with the usual recovery: unclosed and misnested tags, implied ends of paragraphs, list
-items and cells, raw text in scripts and styles. Elements deeper than ``DEEPEST`` hang on that level.
+items and cells, raw text in scripts and styles. A raw element that is never closed, or closes itself
+(``<svg/>``) without an end tag of its own, loses its tag only; an unclosed script or style is code to the end.
 
-Defined cases: null html gives an empty text; a page without main text too; null ids and urls stay;
+Defined cases: null html gives an empty text; a page without main text too; a page without any element is
+all main text; null ids and urls stay;
 repeated rows are treated alike; other columns are kept; an empty table gives an empty result.
 """
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,13 +29,14 @@ from pyspark.sql import functions as F
 from linkloom.llm import labelled_pages
 from linkloom.llm.texts import map_texts
 
-DEEPEST = 512
 #: A tag ends at ``>`` or where the next one begins; a quoted value may hold ``<`` and ``>`` where its quote is closed.
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*+)((?>[^<>"'=]++|=\s*+(?:"[^"<]*+"|'[^'<]*+'|"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>]))?+|["'])*+)(?:>|(?=<)|\Z)""")
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
 READ = frozenset("class id role itemprop data-main hidden aria-hidden style".split())
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
-RAW = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in ("script", "style", "noscript", "template", "iframe", "svg", "title", "textarea", "object")}
+#: Elements whose content is no text of the page: their end tag, and their next tag of either form.
+RAW = {n: (re.compile(rf"</{n}\b[^>]*>", re.I), re.compile(rf"<(/?){n}\b", re.I))
+       for n in ("script", "style", "noscript", "template", "iframe", "svg", "title", "textarea", "object")}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 "
                    "h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -55,9 +59,39 @@ class Page:
     """(element, text) in page order; element -1 ends a block"""
 
 
+class Open:
+    """The open elements of a page, with the places of each name."""
+
+    def __init__(self) -> None:
+        self.stack, self.names = [0], ["#root"]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: int, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        self.stack.append(node)
+        self.names.append(name)
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost open element of these names; 0 if none is open."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def first_after(self, border: int, names: tuple) -> int:
+        """Place of the outermost open element of these names inside ``border``; 0 if there is none."""
+        found = [at[k] for at in map(self.places.get, names) if at and (k := bisect_right(at, border)) < len(at)]
+        return min(found, default=0)
+
+    def close(self, place: int) -> None:
+        """Ends the element at ``place`` and all inside it; place 0 is none."""
+        if place:
+            for name in self.names[place:]:
+                self.places[name].pop()
+            del self.names[place:], self.stack[place:]
+
+
 def parse(source: str) -> Page:
     page = Page()
-    stack, names, at, size = [0], ["#root"], 0, len(source)
+    opened, at, size = Open(), 0, len(source)
+    stack, unclosed = opened.stack, set()
     pieces, find, tag_at = page.pieces, source.find, TAG.match
     while at < size:
         start = find("<", at)
@@ -87,39 +121,46 @@ def parse(source: str) -> Page:
         elif name == "br":
             pieces.append((stack[-1], " "))
         if closing:
-            if name in names:
-                keep = len(names) - 1 - names[::-1].index(name)
-                del names[keep:], stack[keep:]
+            opened.close(opened.last(name))
             continue
         if name in RAW:
-            end = RAW[name].search(source, at)
-            at = end.end() if end else size
+            if name not in unclosed:
+                at = _after_raw(source, at, name, rest, unclosed)
             continue
-        if name in CLOSES_P and "p" in names:
-            keep = len(names) - 1 - names[::-1].index("p")
-            if not any(n in ("td", "th", "table", "button", "object") for n in names[keep:]):
-                del names[keep:], stack[keep:]
-        elif name in IMPLIED:
+        if name in CLOSES_P:
+            place = opened.last("p")
+            if place > opened.last("td", "th", "table", "button"):
+                opened.close(place)
+        if name in IMPLIED:
             ended, borders = IMPLIED[name]
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] in borders:
-                    break
-                if names[k] in ended:
-                    del names[k:], stack[k:]
+            opened.close(opened.first_after(opened.last(*borders), ended))
         if name in VOID:
             continue
-        if len(stack) > DEEPEST:
-            continue
         node = len(page.tags)
         page.parent.append(stack[-1])
         page.depth.append(len(stack))
         page.tags.append(name)
         page.words.append(_words(node, rest, page.marks) if rest and not rest.isspace() else ())
-        stack.append(node)
-        names.append(name)
+        opened.push(node, name)
     return page
 
 
+def _after_raw(source: str, at: int, name: str, rest: str, unclosed: set[str]) -> int:
+    """Where reading goes on after the start tag of a raw element that ends at ``at``."""
+    end_tag, next_tag = RAW[name]
+    if rest.endswith("/"):
+        after = next_tag.search(source, at)
+        if not after or not after[1]:
+            return at
+    end = end_tag.search(source, at)
+    if end:
+        return end.end()
+    if name in ("script", "style"):
+        return len(source)
+    unclosed.add(name)
+    return at
+
+
 def _words(node: int, rest: str, marks: dict[int, int]) -> tuple:
     out = []
     for m in ATTRIBUTE.finditer(rest):
@@ -172,8 +213,8 @@ def forest(pages: list[Page], index: dict[str, int], grow: bool = False) -> Fore
     for level in reversed(levels):
         tag_a = np.array([tags[k] == "a" for k in level.tolist()], bool)
         linked[level[tag_a]] = all_text[level[tag_a]]
-        all_text += np.bincount(parent[level], all_text[level], size)
-        linked += np.bincount(parent[level], linked[level], size)
+        np.add.at(all_text, parent[level], all_text[level])
+        np.add.at(linked, parent[level], linked[level])
     density = linked / np.maximum(all_text, 1)
     near = _bands(own, [1, 20, 80, 200], "own")
     whole = _bands(all_text, [1, 40, 150, 600], "all")
@@ -216,7 +257,7 @@ def marginals(trees: Forest, weights: np.ndarray, pair: np.ndarray) -> tuple[np.
         at = inside[level]
         for p in (0, 1):
             up[level, p] = _log_sum(at[:, 0] + pair[p, 0], at[:, 1] + pair[p, 1])
-            inside[:, p] += np.bincount(trees.parent[level], up[level, p], trees.size)
+            np.add.at(inside[:, p], trees.parent[level], up[level, p])
     outside, edges = np.zeros((trees.size, 2)), np.zeros((2, 2))
     total = _log_sum(inside[:, 0], inside[:, 1])
     for level in trees.levels:
@@ -279,6 +320,7 @@ def texts_of(sources: list[str], model: Model) -> list[str]:
     main = (marginals(trees, model.weights, model.pair)[0] > 0.5).tolist()
     out = []
     for page, b in zip(pages, base.tolist()):
+        main[b] |= len(page.tags) == 1
         blocks, block = [], []
         for node, piece in page.pieces:
             if node < 0:

@@ -109,7 +109,8 @@ class _Writer:
                 self.random.choice(['<div class="comment"><p>{}</p></div>', "<p>{}</p>", "<div>{}</div>", '<article class="comment">{}</article>', "<li><p>{}</p></li>", '<div class="comment-body"><span class="author">x</span><p>{}</p></div>'])
                 .format(self.prose(1, 6)) for _ in range(self.random.randint(1, 4)))
         else:
-            inner = self.random.choice(["{}", "<p>{}</p>", "{} <a href=x>more</a>", "<div><p>{}</p></div>", "&copy; {}", "<h1>{}</h1>", "<h1>{}</h1>", '<a href="/">{}</a>', "<h1>{}</h1><p>{}</p>", "<h3>{}</h3><p>{}</p>", "<p>{}</p><p>{}</p>", "<ul><li>{}</li></ul>", "{} <button>x</button>"]).format(self.prose(1, 2), self.prose(1, 4))
+            inner = self.random.choice(["{}", "<p>{}</p>", "{} <a href=x>more</a>", "<div><p>{}</p></div>", "&copy; {}", "<h1>{}</h1>", "<h1>{}</h1>", '<a href="/">{}</a>', "<h1>{}</h1><p>{}</p>", "<h3>{}</h3><p>{}</p>", "<p>{}</p><p>{}</p>", "<ul><li>{}</li></ul>", "{} <button>x</button>"]).format(
+                self.sentence(1, 2) if self.random.random() < 0.25 else self.prose(1, 2), self.prose(1, 4))
         shell = self.random.choice(kind)
         return shell.replace(">", ' data-main="0">', 1).format(inner)
 
@@ -128,7 +129,7 @@ class _Writer:
         before = [self.boilerplate() for _ in range(r.randint(0, 4))]
         after = [self.boilerplate() for _ in range(r.randint(0, 4))]
         if r.random() < 0.35:
-            name = f"<h1>{self.sentence(1, 4)}</h1>"
+            name = r.choice(["<h1>{}</h1>", "<h1>{}</h1>", "{}"]).format(self.sentence(1, 4))
             before.insert(0, r.choice(['<header data-main="0">{}</header>', '<header class="site-header" data-main="0">{}</header>', '<div class="header" data-main="0">{}</div>'])
                           .format(name + r.choice(["", f"<p>{self.sentence(1, 8)}</p>", f"<nav>{self.links()}</nav>"])))
         body = "".join([*before, shell.format("".join(parts)) if shell else "".join(parts), *after])
