@@ -56,7 +56,8 @@ def op7_seekable_warc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return secret_scan.scan(_table(spark, sf, "documents").select("doc_id", "text"))
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return secret_scan.scan(docs, secret_scan.learn_words(docs))
 
 
 def op9_lsh_forest_join(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,10 @@ known words, dates, repeats, keyboard walks and brute-force characters. The cost
 logarithm of the guesses an attacker needs; from ``HARD_TO_GUESS`` on the value is a secret. Values inside
 a pattern span are not reported again, so the method only adds spans.
 
+Known words are a short list of common parts of passwords and the ``DICTIONARY`` most frequent words of all
+texts (``learn_words``), each at the logarithm of twice its rank. Words that stand as a credential's value do not count for
+it, so a secret that is copied often does not become a word.
+
 Spans are code points with an exclusive end. Defined cases: a null text is empty and has no span;
 null ids, repeated rows and other columns make no difference; an empty table gives an empty result.
 """
@@ -16,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +53,9 @@ COMMON_WORDS = ("password", "passwd", "pass", "admin", "welcome", "letmein", "lo
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 
 WORD_COST = {w: math.log10(2 * k + 2) for k, w in enumerate(COMMON_WORDS)}
-LONGEST_WORD = max(map(len, COMMON_WORDS))
+#: Words learned from the texts: how many, their lengths, and how often a word must occur.
+DICTIONARY, WORD_LENGTHS, WORD_COUNT = 50_000, (3, 24), 3
+LONGEST_WORD = WORD_LENGTHS[1]
 STEPS = {pair for row in KEY_ROWS for line in (row, row[::-1]) for pair in zip(line, line[1:])}
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0\d|1[0-2])[-/.]?[0-3]\d|[0-3]\d[-/.]?(?:0\d|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d)")
 SEGMENT = math.log10(2)
@@ -62,7 +70,17 @@ def _kind(ch: str) -> tuple[int, float]:
     return 3, math.log10(33)
 
 
-def guess_cost(value: str) -> float:
+def learn_words(docs: DataFrame, size: int = DICTIONARY) -> dict[str, float]:
+    """Cost of each known word: the common parts of passwords, and the most frequent words of the whole texts."""
+    text = F.regexp_replace(F.col("text").cast("string"), "(?i)" + CONTEXT.pattern, " ")
+    words = docs.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word"))
+    counted = words.filter(F.length("word").between(*WORD_LENGTHS)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.filter(F.col("n") >= WORD_COUNT).orderBy(F.desc("n"), "word").limit(size).collect()
+    learned = {row.word: math.log10(2 * k + 2) for k, row in enumerate(rows)}
+    return learned | {w: min(c, learned.get(w, c)) for w, c in WORD_COST.items()}
+
+
+def guess_cost(value: str, words: dict[str, float] = WORD_COST) -> float:
     """Smallest base-10 logarithm of guesses over all segmentations of ``value``; linear in its length."""
     low, n = value.lower(), len(value)
     if len(low) != n:
@@ -86,7 +104,7 @@ def guess_cost(value: str) -> float:
         if walk[i] >= 3:
             cost = min(cost, best[end - walk[i]] + SEGMENT + math.log10(len(STEPS)) + math.log10(walk[i]))
         for size in range(2, min(LONGEST_WORD, end) + 1):
-            known = WORD_COST.get(low[end - size:end])
+            known = words.get(low[end - size:end])
             if known is not None:
                 shift = 0 if value[end - size:end].islower() else 0.5
                 cost = min(cost, best[end - size] + SEGMENT + known + shift)
@@ -96,12 +114,7 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def mixed(value: str) -> bool:
-    """Whether a value has characters of two classes, a leading capital aside; prose words have one."""
-    return len({_kind(c)[0] for c in value[1:]} | ({_kind(value[0])[0]} - {2} if value else set())) > 1
-
-
-def spans_of(text: str, hard: float = HARD_TO_GUESS) -> list[tuple[int, int, str]]:
+def spans_of(text: str, words: dict[str, float] = WORD_COST, hard: float = HARD_TO_GUESS) -> list[tuple[int, int, str]]:
     """(start, end, kind), by start and then by kind as listed."""
     found = []
     if ":" in text or "=" in text:
@@ -109,12 +122,14 @@ def spans_of(text: str, hard: float = HARD_TO_GUESS) -> list[tuple[int, int, str
     if "AKIA" in text:
         found += [(*m.span(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LENGTH]
     found += [(*m.span(), "hex") for m in HEX.finditer(text)]
-    covered = sorted(found)
+    base = sorted(found)
+    starts = [s[0] for s in base]
+    ends = [0, *accumulate((s[1] for s in base), max)]
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".,;:!?)]}>\"'`")
         start, end = m.start(1), m.start(1) + len(value)
-        if len(value) >= 6 and value != MASK and mixed(value) and not any(a < end and start < b for a, b, _ in covered) \
-                and guess_cost(value) >= hard:
+        # a base span meets the value if one that begins before its end reaches beyond its start
+        if value != MASK and ends[bisect_right(starts, end - 1)] <= start and guess_cost(value, words) >= hard:
             found.append((start, end, "guess"))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
@@ -133,10 +148,10 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, words: dict[str, float] = WORD_COST) -> DataFrame:
     """Per row: the columns of ``docs`` but the text, then counts, digest and list of its spans."""
     def run(texts):
-        found = [spans_of(t) for t in texts]
+        found = [spans_of(t, words) for t in texts]
         base = [[s for s in one if s[2] != "guess"] for one in found]
         out = {f"n_{kind}": [sum(s[2] == kind for s in one) for one in found] for kind in KINDS}
         out["base_sha256"] = [hashlib.sha256(written(one).encode()).hexdigest() for one in base]
@@ -146,10 +161,10 @@ def scan(docs: DataFrame) -> DataFrame:
     return map_texts(docs, run, kind, [c for c in docs.columns if c != "text"])
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, words: dict[str, float] = WORD_COST) -> DataFrame:
     """``docs`` with every secret in ``text`` masked; all rows, columns and their order stay."""
     def run(texts):
-        return {"__text": [masked(t, spans_of(t)) for t in texts], "__found": [True] * len(texts)}
+        return {"__text": [masked(t, spans_of(t, words)) for t in texts], "__found": [True] * len(texts)}
 
     rest = [c for c in docs.columns if c != "text"]
     rows = map_texts(docs.withColumn("__null", F.col("text").isNull()), run, "__text string, __found boolean", [*rest, "__null"])
