@@ -7,7 +7,7 @@ known words, dates, repeats, keyboard walks and brute-force characters. The cost
 logarithm of the guesses an attacker needs; from ``HARD_TO_GUESS`` on the value is a secret. Values inside
 a pattern span are not reported again, so the method only adds spans.
 
-Known words are a short list of common parts of passwords and the ``DICTIONARY`` most frequent words of all
+Known words are a short list of common parts of passwords and the frequent words of all
 texts (``learn_words``), each at the logarithm of twice its rank. Words that stand as a credential's value do not count for
 it, so a secret that is copied often does not become a word.
 
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.texts import map_texts
+from linkloom.runtime import cut
 
 KINDS = ("assign", "access", "hex", "guess")
 HARD_TO_GUESS = 8.0
@@ -53,8 +54,8 @@ COMMON_WORDS = ("password", "passwd", "pass", "admin", "welcome", "letmein", "lo
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 
 WORD_COST = {w: math.log10(2 * k + 2) for k, w in enumerate(COMMON_WORDS)}
-#: Words learned from the texts: how many, their lengths, and how often a word must occur.
-DICTIONARY, WORD_LENGTHS, WORD_COUNT = 50_000, (3, 24), 3
+#: Words learned from the texts: their least share of all words, their lengths, and how often a word must occur.
+WORD_SHARE, WORD_LENGTHS, WORD_COUNT = 5e-6, (3, 24), 3
 LONGEST_WORD = WORD_LENGTHS[1]
 STEPS = {pair for row in KEY_ROWS for line in (row, row[::-1]) for pair in zip(line, line[1:])}
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0\d|1[0-2])[-/.]?[0-3]\d|[0-3]\d[-/.]?(?:0\d|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d)")
@@ -70,12 +71,15 @@ def _kind(ch: str) -> tuple[int, float]:
     return 3, math.log10(33)
 
 
-def learn_words(docs: DataFrame, size: int = DICTIONARY) -> dict[str, float]:
-    """Cost of each known word: the common parts of passwords, and the most frequent words of the whole texts."""
+def learn_words(docs: DataFrame, share: float = WORD_SHARE) -> dict[str, float]:
+    """Cost of each known word: the common parts of passwords, and the words that make up at least ``share`` of the
+    whole texts (of their words met ``WORD_COUNT`` times), so at most ``1 / share`` of them reach the driver."""
     text = F.regexp_replace(F.col("text").cast("string"), "(?i)" + CONTEXT.pattern, " ")
     words = docs.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word"))
-    counted = words.filter(F.length("word").between(*WORD_LENGTHS)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rows = counted.filter(F.col("n") >= WORD_COUNT).orderBy(F.desc("n"), "word").limit(size).collect()
+    counted = cut(words.filter(F.length("word").between(*WORD_LENGTHS)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+                  .filter(F.col("n") >= WORD_COUNT))
+    total = counted.agg(F.sum("n").alias("n")).first().n or 0
+    rows = sorted(counted.filter(F.col("n") >= total * share).collect(), key=lambda row: (-row.n, row.word))
     learned = {row.word: math.log10(2 * k + 2) for k, row in enumerate(rows)}
     return learned | {w: min(c, learned.get(w, c)) for w, c in WORD_COST.items()}
 
