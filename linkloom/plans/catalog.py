@@ -619,6 +619,23 @@ def integrity_violations(spark, sf):
     return checks.violations(entities, bad)
 
 
+@query
+def integrity_all_rules(spark, sf):
+    """Every rule broken on purpose: dangling ends, files, cases and scored entities, values out of range."""
+    entities, links = call_tables(spark, sf)
+    k, far = F.col("link_id"), 1_000_000
+    bad = links.withColumns({
+        "entity_a_id": F.when(k % 11 == 2, F.col("entity_a_id") + far).otherwise(F.col("entity_a_id")),
+        "entity_b_id": F.when(k % 7 == 3, F.lit(None)).otherwise(F.col("entity_b_id")),
+        "confidence_score": F.when(k % 5 == 1, -F.col("confidence_score")).otherwise(F.col("confidence_score"))})
+    e = F.col("entity_id")
+    scores = entities.select("case_id", F.when(e % 9 == 4, e + far).otherwise(e).alias("entity_id"),
+                             F.when(e % 13 == 5, 101).when(e % 13 == 6, -1).otherwise(100).alias("score"))
+    files = links.select("case_id", F.col("source_evidence_file_id").alias("evidence_file_id")).distinct()
+    cases = files.select("case_id").distinct().filter("case_id % 4 <> 1")
+    return checks.violations(entities, bad, scores, files.filter("evidence_file_id % 3 <> 1"), cases)
+
+
 # --- evidence files built from the tables ---------------------------------------------
 
 @query

@@ -599,6 +599,17 @@ GROUP BY case_id
 UNION ALL SELECT case_id, 'confidence_out_of_range', count(*) FROM link WHERE lid % 5 = 1 GROUP BY case_id"""
 
 
+ORACLE["integrity_all_rules"] = _with(_calls(), _ENT, _link()) + """,
+sf AS (SELECT DISTINCT case_id, src_file FROM link)
+SELECT case_id, 'link_endpoint_a_missing' AS violation, count(*) AS n FROM link WHERE lid % 11 = 2 GROUP BY case_id
+UNION ALL SELECT case_id, 'link_endpoint_b_missing', count(*) FROM link WHERE lid % 7 = 3 GROUP BY case_id
+UNION ALL SELECT case_id, 'confidence_out_of_range', count(*) FROM link WHERE lid % 5 = 1 GROUP BY case_id
+UNION ALL SELECT case_id, 'link_file_missing', count(*) FROM link WHERE src_file % 3 = 1 GROUP BY case_id
+UNION ALL SELECT case_id, 'score_entity_missing', count(*) FROM ent WHERE eid % 9 = 4 GROUP BY case_id
+UNION ALL SELECT case_id, 'score_out_of_range', count(*) FROM ent WHERE eid % 13 IN (5, 6) GROUP BY case_id
+UNION ALL SELECT case_id, 'file_case_missing', count(*) FROM sf WHERE src_file % 3 <> 1 AND case_id % 4 = 1 GROUP BY case_id"""
+
+
 # --- evidence files built from the tables -------------------------------------------------
 
 ORACLE["csv_call_rows"] = _with(_calls()) + """

@@ -239,6 +239,22 @@ def test_violations(spark):
     assert {(r.violation, r.n) for r in got} == {("link_endpoint_b_missing", 1), ("confidence_out_of_range", 2)}
 
 
+def test_all_seven_violations(spark):
+    """Ids are held per case, null references are missing, stored null ids hold nothing, null values are in range."""
+    entities = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (1, None)], "case_id long, entity_id long")
+    links = spark.createDataFrame([(1, 1, 2, 0.5, 10), (1, None, 2, 1.0, 10), (2, 1, 2, -0.1, 11), (1, 2, 1, None, None), (1, 3, 3, 1.1, 12)],
+                                  "case_id long, entity_a_id long, entity_b_id long, confidence_score double, source_evidence_file_id long")
+    scores = spark.createDataFrame([(1, 1, 100), (1, 7, 101), (2, 2, -1), (2, 1, None)], "case_id long, entity_id long, score int")
+    files = spark.createDataFrame([(1, 10), (2, 11), (3, 13)], "case_id long, evidence_file_id long")
+    cases = spark.createDataFrame([(1,), (2,)], "case_id long")
+    got = {(r.case_id, r.violation): r.n for r in checks.violations(entities, links, scores, files, cases).collect()}
+    assert got == {(1, "link_endpoint_a_missing"): 2, (1, "link_endpoint_b_missing"): 1, (2, "link_endpoint_b_missing"): 1,
+                   (1, "confidence_out_of_range"): 1, (2, "confidence_out_of_range"): 1, (1, "link_file_missing"): 2,
+                   (1, "score_entity_missing"): 1, (2, "score_entity_missing"): 1, (1, "score_out_of_range"): 1,
+                   (2, "score_out_of_range"): 1, (3, "file_case_missing"): 1}
+    assert checks.violations(entities.limit(0), links.limit(0), scores.limit(0), files.limit(0), cases.limit(0)).count() == 0
+
+
 def test_sinks_write_json_rows(spark, tmp_path):
     nodes, links, edges = scene(spark, [(1, "phone", 0), (2, "phone", 0)], [(1, 2, "transaction")])
     found = clusters.clusters_of(nodes, edges)
