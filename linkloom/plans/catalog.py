@@ -584,6 +584,17 @@ def brief_sections(spark, sf):
                    F.get_json_object("body", "$.total_links")).cast("long").alias("figure"))
 
 
+@query
+def brief_documents(spark, sf):
+    """The whole JSON of every section of every brief; a case's document is its rows in order."""
+    metrics, report, top, summary = _brief_inputs(spark, sf)
+    named = metrics.select("case_id", F.concat(F.lit("Ledger "), F.col("case_id")).alias("name"),
+                           F.when(F.col("case_id") % 2 == 0, "active").otherwise("archived").alias("status"),
+                           *[c for c in metrics.columns if c != "case_id"])
+    stamp = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    return BR.brief_sections(named, report, top, summary, stamp).select("case_id", "section", "item_no", "body")
+
+
 @query
 def custody_statements(spark, sf):
     files, entries = _tampered(spark, sf)

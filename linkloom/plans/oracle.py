@@ -586,6 +586,24 @@ UNION ALL SELECT case_id, 'custody_chain', 1, entries FROM bc
 UNION ALL SELECT case_id, 'top_entities', rank, score FROM rank WHERE rank <= 10
 UNION ALL SELECT case_id, 'clusters', cid + 1, node_count FROM sm"""
 
+_ADVICE = """CASE WHEN score > 0 THEN 'Recommended for investigator review — do not act without independent corroboration of the evidence.'
+  ELSE 'No significant fraud indicators detected at this time. Continue routine monitoring.' END"""
+ORACLE["brief_documents"] = _with(*_LEDGER_SCORE, _SUMMARY, _CASES, _BRIEF_CHAIN) + f"""
+SELECT case_id, 'case_summary' AS section, 1::BIGINT AS item_no, CAST(json_object(
+    'classification', 'LAW ENFORCEMENT SENSITIVE // OFFICIAL INVESTIGATIVE BRIEF', 'generated_at', '2024-01-01T00:00:00.000',
+    'name', 'Ledger ' || case_id, 'status', CASE WHEN case_id % 2 = 0 THEN 'active' ELSE 'archived' END,
+    'total_evidence_files', total_evidence_files, 'total_entities', total_entities, 'total_links', total_links,
+    'total_clusters', total_clusters) AS VARCHAR) AS body FROM met
+UNION ALL SELECT case_id, 'custody_chain', 1, CAST(json_object('is_valid', true, 'total_entries', entries, 'head_hash', head,
+    'statutory_statement', {_STATEMENT}, 'broken_reason', NULL, 'details', json_object('head_hash', head)) AS VARCHAR)
+  FROM (SELECT *, true AS is_valid, entries AS total_entries, NULL AS reason FROM bc) rep
+UNION ALL SELECT case_id, 'top_entities', rank, CAST(json_object('rank', rank, 'entity_id', eid, 'entity_type', t, 'identifier', {_MASKED},
+    'score', score, 'reason_codes', CASE codes WHEN '' THEN [] ELSE string_split(codes, ',') END,
+    'reason_messages', CASE msgs WHEN '' THEN [] ELSE string_split(msgs, ' | ') END, 'recommendation', {_ADVICE}) AS VARCHAR)
+  FROM rank WHERE rank <= 10
+UNION ALL SELECT case_id, 'clusters', cid + 1, CAST(json_object('cluster_id', cid, 'node_count', node_count,
+    'entity_types', string_split(types, ','), 'high_risk_entity_count', high) AS VARCHAR) FROM sm"""
+
 ORACLE["case_list"] = """
 SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'active' ELSE 'archived' END AS status, count(*) AS n,
   CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE (SELECT count(*) FROM supplier WHERE s_suppkey % 2 = 0) + 1 END
