@@ -461,6 +461,57 @@ def test_text_links(spark, odd):
     assert text_dedup.prefix_length(0.8, 0.9999) == 3
 
 
+def test_ranges_of_a_sorted_trie():
+    path = np.array([[1, 1, 1, 1, 1, 1, 1, 1], [1, 1, 1, 1, 1, 1, 1, 1], [1, 1, 1, 2, 0, 0, 0, 0], [1, 1, 3, 0, 0, 0, 0, 0],
+                     [1, 1, 3, 0, 0, 0, 0, 1], [4, 4, 0, 0, 0, 0, 0, 0]], np.uint16)
+    low, end = text_dedup.ranges(np.array([5, 5, 5, 5, 5, 9]), path, 2)
+    size = end - low
+    assert size[0].tolist() == [5, 5, 5, 5, 5, 1] and size[1].tolist() == [3, 3, 3, 2, 2, 1] and size[-1].tolist() == [2, 2, 1, 1, 1, 1]
+    depth = np.full(6, 2)
+    assert text_dedup.matched(size, depth, 5, 2).tolist() == [2] * 6
+    assert text_dedup.matched(size, depth, 2, 2).tolist() == [4, 4, 4, 3, 3, 2]
+    assert text_dedup.matched(size, depth, 1, 2).tolist() == [0, 0, 4, 8, 8, 2]
+    assert text_dedup.matched(size, depth + 1, 5, 2).tolist() == [3] * 6
+
+
+def forest_scene(spark):
+    """Documents of their own, pairs, and 400 different copies whose paths are dense in most tries."""
+    rng = np.random.default_rng(14)
+    rows = [" ".join(rng.integers(0, 99_999, 60).astype(str)) for _ in range(150)]
+    rows += [t + " z" for t in rows[:50]]
+    base = rng.integers(0, 99_999, 300).astype(str).tolist()
+    for k in range(400):
+        copy = list(base)
+        copy[int(rng.integers(0, 300))] = f"y{k}"
+        rows.append(" ".join(copy))
+    return documents(spark, [(i, t, "en", "a") for i, t in enumerate(rows)])
+
+
+def test_prefixes_shorten_to_the_recall(spark, monkeypatch):
+    docs = forest_scene(spark)
+    pairs = [(r.doc_id, r.text) for r in docs.collect()]
+    links, low = brute_links(pairs)
+    want = sorted((i, int(n), c) for (i, _), n, c in zip(pairs, links, low))
+    for sorted_rows, limits in [(100, (16, 64)), (1 << 14, (1024,))]:
+        monkeypatch.setattr(text_dedup, "SORTED_ROWS", sorted_rows)
+        got = sorted((r.doc_id, r.n_links, r.component_id) for r in text_dedup.join(docs, limits=limits).collect())
+        assert got == want, (sorted_rows, limits)
+
+
+def test_dense_documents_get_longer_prefixes_or_larger_limits(spark):
+    docs = forest_scene(spark)
+    made = text_dedup.documents_of(docs, ["doc_id"]).withColumnRenamed("doc_id", "id")
+    rooted, crowded = text_dedup.tries(made, 2)
+    asked = {r.id: r.asked for r in text_dedup.limits_of(rooted, crowded, 0.8, 0.9999, 2).collect()}
+    assert all(asked.get(i, 0) == 0 for i in range(200))
+    assert sum(asked[i] > 0 for i in range(200, 600)) > 350 and crowded.count() == 0
+
+
+def test_separators_alone_are_no_words(spark):
+    docs = documents(spark, [(1, "\x1c\x1d \x1e\x1f", "en", "a"), (2, "\x1c", "en", "a"), (3, "a\x1cb", "en", "a"), (4, "a b", "en", "a")])
+    assert sorted(r.doc_id for r in text_dedup.keep_one(docs).collect()) == [1, 2, 3]
+
+
 def test_one_stays_of_every_component_not_of_every_id(spark):
     """Unrelated texts without an id, or under one id, are components of their own; near and equal ones still go."""
     rng = np.random.default_rng(6)
