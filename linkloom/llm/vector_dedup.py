@@ -8,8 +8,9 @@ component, in bounded blocks, so that windows limit only what is needed to reach
 
 Hyperplanes go through the mean of a label's unit vectors, as embeddings often share a direction. How many
 passes there are follows from the first ones: from the key bits that vectors there share with the end of
-their window, and their distance from the mean. Where the windows of all passes would be as wide as the
-largest label, all vectors of a label are compared in bounded blocks instead.
+their window, and their distance from the mean. Where that many passes would compare as much as all pairs of
+the largest label and still be short of the recall, which happens to labels too spread out or too uniform for
+sorting, the vectors of a label are compared in bounded blocks as well, so that no link is lost.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors with
 a null label, link with nothing; vectors of other dimensions never link; a null id stays null in its row
@@ -48,11 +49,13 @@ def chance(bits: np.ndarray, spread: np.ndarray, threshold: float = THRESHOLD) -
 
 def passes_for(once: np.ndarray, rows: np.ndarray, most: int, recall: float = RECALL) -> int:
     """Passes until a pair at the threshold has been inside one window with probability ``recall``, over ``rows``
-    vectors that one pass gives that probability ``once``; ``most`` if there would be more."""
+    vectors that one pass gives that probability ``once``; 0 if there would be more than ``most``."""
     passes = FIRST_PASSES
-    while passes < most and (rows * (1 - once) ** passes).sum() > (1 - recall) * rows.sum():
+    while (rows * (1 - once) ** passes).sum() > (1 - recall) * rows.sum():
         passes += max(1, passes // 16)
-    return min(passes, most)
+        if passes > most:
+            return 0
+    return passes
 
 
 def _planes(dim: int, at: int) -> np.ndarray:
@@ -166,16 +169,14 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW
         ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
         return cut(ordered.mapInArrow(neighbours(measure), "a long, b long, once double"))
 
-    most, passes = math.ceil(largest / window), 0
-    if most > FIRST_PASSES:
-        stars = windows(0, FIRST_PASSES, True)
-        seen = stars.filter("b < 0").groupBy("a").agg(F.avg("once").alias("once"))
-        step = F.round(F.log("once") * 20)
-        seen = seen.groupBy(step.alias("step")).agg(F.min("once").alias("once"), F.count(F.lit(1)).alias("rows")).toPandas()
-        passes = passes_for(seen["once"].to_numpy(float), seen["rows"].to_numpy(float), most)
-        stars = stars.filter("b >= 0").select("a", "b")
-    whole = passes in (0, most)
+    stars = windows(0, FIRST_PASSES, True)
+    seen = stars.filter("b < 0").groupBy("a").agg(F.avg("once").alias("once"))
+    step = F.round(F.log("once") * 20)
+    seen = seen.groupBy(step.alias("step")).agg(F.min("once").alias("once"), F.count(F.lit(1)).alias("rows")).toPandas()
+    passes = passes_for(seen["once"].to_numpy(float), seen["rows"].to_numpy(float), max(FIRST_PASSES, math.ceil(largest / window)))
+    whole = not passes
     if not whole:
+        stars = stars.filter("b >= 0").select("a", "b")
         if passes > FIRST_PASSES:
             stars = stars.unionByName(windows(FIRST_PASSES, passes).select("a", "b"))
         reached = cut(roots(stars))
