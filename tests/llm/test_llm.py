@@ -378,6 +378,15 @@ def test_vector_links(spark):
     assert vector_dedup.dedup(frame.limit(0)).count() == 0
 
 
+def test_passes_follow_the_recall():
+    rows = np.array([100.0])
+    assert vector_dedup.passes_for(np.array([0.9]), rows, 8) == vector_dedup.FIRST_PASSES
+    passes = vector_dedup.passes_for(np.array([0.4]), rows, 50)
+    assert 8 < passes < 50 and 0.6 ** passes <= 0.001
+    assert vector_dedup.passes_for(np.array([0.01]), rows, 50) == 0 and vector_dedup.passes_for(np.array([0.0]), rows, 50) == 0
+    assert vector_dedup.passes_for(np.empty(0), np.empty(0), 8) == vector_dedup.FIRST_PASSES
+
+
 def test_vector_pairs_with_a_common_direction(spark):
     """Isolated near pairs among vectors of pairwise cosine about 0.8 are found, in windows and in whole labels."""
     rng = np.random.default_rng(12)
