@@ -1,8 +1,7 @@
 """Exact top-k search by inner product with a KD-tree per shard.
 
 Vectors are dealt to shards. Each shard builds a KD-tree by median splits on the widest dimension, with a
-tight bounding box at every node; the tree's leaves are the index, one row each. A query visits a shard's
-nodes best first, by the largest inner product that a node's box allows, and stops when that bound is
+tight bounding box at every node; leaves hold up to ``LEAF_ROWS`` rows. A query visits a shard's nodes best first, by the largest inner product that a node's box allows, and stops when that bound is
 under the query's k-th score. The k-th score found in a first shard is propagated to all others, so that
 most of their nodes are never opened. Queries and shards meet in blocks of bounded size.
 

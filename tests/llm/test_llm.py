@@ -429,6 +429,25 @@ def test_tree_prunes():
     assert sorted(order) == list(range(3000)) and len(nodes) > 60
 
 
+def test_search_over_many_leaves_is_exact():
+    """Best-first traversal of trees of many leaves, with ties, repeated rows, own rows and a propagated k-th score."""
+    rng = np.random.default_rng(5)
+    for dim in (1, 3, 16):
+        rows = np.floor(rng.normal(size=(6000, dim)) * 9)
+        ids = rng.permutation(6000).astype(np.int64)
+        assert len(nearest.split_tree(rows)[1]) > 15 or dim == 1
+        asked = np.arange(0, 6000, 250)
+        want = {}
+        for q, at in enumerate(asked.tolist()):
+            scores = rows @ rows[at]
+            order = [i for i in np.lexsort((ids, -scores)).tolist() if ids[i] != ids[at]][:20]
+            want[q] = [(int(ids[i]), float(scores[i])) for i in order]
+        for floor in (np.full(len(asked), -np.inf), np.array([want[q][-1][1] for q in range(len(asked))])):
+            for q, found, scores in nearest.search(ids, rows, ids[asked], rows[asked], floor, 20):
+                best = np.lexsort((found, -scores))[:20]
+                assert [(int(found[i]), float(scores[i])) for i in best] == want[q]
+
+
 def brute_links(pairs):
     sets = []
     for _, t in pairs:
