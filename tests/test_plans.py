@@ -24,3 +24,14 @@ def test_references_evaluate_a_party_once(spark, tmp_path):
     assert optimized(refs).count("-marker") == 1
     assert sorted((r.rec_no, r.root_no, r.ref_no, r.root_value, r.target_value) for r in refs.collect()) == [
         (3, 0, 0, "s", "r"), (3, 1, 0, "r", "s")]
+
+
+def test_identifiers_are_found_once(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, 2, "10.0.0.1"), (1, 3, "-marker")], "case_id long, evidence_file_id long, text string").write.parquet(path)
+    value = F.nullif(F.regexp_replace("text", "-marker", ""), F.lit(""))
+    found = spark.read.parquet(path).withColumn("found", F.filter(F.array(F.struct(
+        F.lit(V.IP).alias("entity_type"), value.alias("value"))), lambda x: x["value"].isNotNull()))
+    got = device_log.distinct_identifiers(found)
+    assert optimized(got).count("-marker") == 1
+    assert [tuple(r) for r in got.collect()] == [(1, 2, V.IP, "10.0.0.1")]
