@@ -35,3 +35,12 @@ def test_identifiers_are_found_once(spark, tmp_path):
     got = device_log.distinct_identifiers(found)
     assert optimized(got).count("-marker") == 1
     assert [tuple(r) for r in got.collect()] == [(1, 2, V.IP, "10.0.0.1")]
+
+
+def test_numbers_need_no_window_over_the_rows(spark):
+    rows = [(g, k, 10) for g in (1, 2, None) for k in (5, 1, 9, None)]
+    df = spark.createDataFrame(rows, "g long, k long, start long")
+    got = numbering.number_within(df, ["g"], [F.floor(F.col("k") / 4)], [F.col("k")], "no", F.col("start"))
+    assert "Window" not in optimized(got)
+    assert sorted((r.g, r.k, r.no - r.start) for r in got.collect()) == [
+        (g, k, n) for g in (1, 2) for n, k in enumerate((1, 5, 9))]
