@@ -43,4 +43,19 @@ def test_numbers_need_no_window_over_the_rows(spark):
     got = numbering.number_within(df, ["g"], [F.floor(F.col("k") / 4)], [F.col("k")], "no", F.col("start"))
     assert "Window" not in optimized(got)
     assert sorted((r.g, r.k, r.no - r.start) for r in got.collect()) == [
-        (g, k, n) for g in (1, 2) for n, k in enumerate((1, 5, 9))]
+        (g, k, n) for g in (1, 2) for n, k in enumerate((1, 5, 9), 1)]
+
+
+def test_only_the_parsers_of_delivered_types_run(spark, monkeypatch):
+    ran = []
+    for name in ("parse_calls", "parse_ledgers", "parse_mail", "parse_dumps"):
+        real = getattr(artifacts, name)
+        monkeypatch.setattr(artifacts, name, lambda *a, real=real, name=name, **k: (ran.append(name), real(*a, **k))[1])
+    schema = "case_id long, evidence_file_id long, source_type string, content binary"
+    mail = (1, 1, "email", bytearray(b"From: a@x.example\r\nTo: b@y.example\r\n\r\nhello"))
+    parsed = artifacts.parse_uploads(spark.createDataFrame([mail, (1, 2, "fax", bytearray(b"x"))], schema))
+    assert ran == ["parse_mail"]
+    assert parsed.links.count() == 1 and parsed.skipped.count() == 0
+    assert [r.error_class for r in parsed.rejected.collect()] == [V.UNSUPPORTED]
+    nothing = artifacts.parse_uploads(spark.createDataFrame([(1, 2, "fax", bytearray(b"x"))], schema))
+    assert nothing.mentions.count() == 0 and nothing.outcomes.count() == 0
