@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkloom import vocab as V
-from linkloom.operators import numbering, records
+from linkloom.operators import graph, numbering, records
 from linkloom.sources import artifacts, device_log
 
 
@@ -59,3 +59,14 @@ def test_only_the_parsers_of_delivered_types_run(spark, monkeypatch):
     assert [r.error_class for r in parsed.rejected.collect()] == [V.UNSUPPORTED]
     nothing = artifacts.parse_uploads(spark.createDataFrame([(1, 2, "fax", bytearray(b"x"))], schema))
     assert nothing.mentions.count() == 0 and nothing.outcomes.count() == 0
+
+
+def test_edges_do_not_travel_to_the_nodes(spark):
+    links = spark.createDataFrame(
+        [(1, 1, 1, 2), (1, 2, 2, 9), (1, 3, 8, 3), (1, 4, 2, 3), (2, 5, 1, 2), (None, 6, 1, 2), (1, 7, None, 2)],
+        "case_id long, link_id long, entity_a_id long, entity_b_id long").withColumns(
+        {"link_type": F.lit("transaction"), "confidence_score": F.lit(0.9)})
+    nodes = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (1, 3), (2, 2), (None, 1), (None, 2)], "case_id long, entity_id long")
+    edges = graph.consolidate(links, nodes)
+    assert "LeftSemi" not in optimized(edges)
+    assert sorted((r.case_id, r.src, r.dst) for r in edges.collect()) == [(1, 1, 2), (1, 2, 3)]
