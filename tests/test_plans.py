@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkloom import vocab as V
-from linkloom.operators import graph, numbering, records
+from linkloom.operators import clusters, graph, numbering, records
 from linkloom.sources import artifacts, device_log
 
 
@@ -70,3 +70,16 @@ def test_edges_do_not_travel_to_the_nodes(spark):
     edges = graph.consolidate(links, nodes)
     assert "LeftSemi" not in optimized(edges)
     assert sorted((r.case_id, r.src, r.dst) for r in edges.collect()) == [(1, 1, 2), (1, 2, 3)]
+
+
+def test_rounds_read_only_what_is_left(spark, monkeypatch):
+    """Stars hang on a chain: after the first round most nodes are out, and at last nothing is left."""
+    written, plain = [], clusters.cut
+    monkeypatch.setattr(clusters, "cut", lambda df: written.append(plain(df)) or written[-1])
+    pairs = [(i, i + 1) for i in range(1, 20)] + [(i, 100 * i + k) for i in range(1, 21) for k in range(20)] + [(5, 6), (70, 71)]
+    edges = spark.createDataFrame([(1, a, b) for a, b in pairs], "case_id long, src long, dst long")
+    nodes = spark.createDataFrame([(1, i) for i in sorted({x for p in pairs for x in p} | {99})], "case_id long, entity_id long")
+    got = {r.entity_id: r.root for r in clusters.components(nodes, edges).collect()}
+    assert got == {i: i if i in (70, 99) else 70 if i == 71 else 1 for i in got} and len(got) == 424 - 1
+    sizes = [df.count() for df in written]
+    assert sizes[0] == len(pairs) and sizes[-1] == 0 and sizes[3] < 50
