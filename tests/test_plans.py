@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkloom import vocab as V
-from linkloom.operators import clusters, graph, numbering, records
+from linkloom.operators import clusters, custody, graph, numbering, records
 from linkloom.sources import artifacts, device_log
 
 
@@ -83,3 +83,17 @@ def test_rounds_read_only_what_is_left(spark, monkeypatch):
     assert got == {i: i if i in (70, 99) else 70 if i == 71 else 1 for i in got} and len(got) == 424 - 1
     sizes = [df.count() for df in written]
     assert sizes[0] == len(pairs) and sizes[-1] == 0 and sizes[3] < 50
+
+
+def test_verification_keeps_hashes_of_few_entries(spark, monkeypatch):
+    """Of a chain only entries at bucket borders and broken ones keep hashes in what is written."""
+    written, plain = [], custody.cut
+    monkeypatch.setattr(custody, "cut", lambda df: written.append(plain(df)) or written[-1])
+    files = spark.range(1, 61).select(F.lit(1).cast("long").alias("case_id"), F.col("id").alias("evidence_file_id"),
+                                      (F.col("id") * 5000).alias("entry_id"), F.sha2(F.col("id").cast("string"), 256).alias("file_hash"))
+    entries = custody.extend_chain(files).drop("case_id").withColumn(
+        "file_hash", F.when(F.col("evidence_file_id") == 40, F.lit("altered")).otherwise(F.col("file_hash")))
+    report = custody.verify(files.select("case_id").distinct(), files, entries).first()
+    assert (report.total_entries, report.broken_index, report.broken_entry_id, report.reason) == (60, 39, 200_000, V.BREAK_HASH)
+    hashes = [c for c in written[0].columns if "hash" in c or c == "entry"]
+    assert written[0].count() == 60 and written[0].filter(" OR ".join(f"{c} IS NOT NULL" for c in hashes)).count() <= 12
