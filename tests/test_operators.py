@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.operators import brief, checks, clusters, custody, graph, numbering, paths, reach, risk
+from linkloom.operators import brief, checks, clusters, custody, graph, numbering, paths, reach, records, risk
 
 T0 = "2024-03-15 10:00:00"
 
@@ -274,3 +274,27 @@ def test_sinks_write_json_rows(spark, tmp_path):
                                                "top_entities", "top_entities"]
     head = json.loads(next(r.body for r in rows if r.section == "case_summary"))
     assert (head["name"], head["total_entities"], head["total_clusters"]) == ("Case A", 2, 1)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_call_rows_name_each_once(spark):
+    rows = spark.createDataFrame([
+        (1, 1, 1, "p1", "p2", "i1", "a1"), (1, 1, 2, "p1", "p1", "i1", None), (1, 1, 3, None, "p2", None, "a1"),
+        (1, 1, 4, None, None, None, None)],
+        "case_id long, evidence_file_id long, rec_no long, caller string, callee string, imei string, ip string"
+    ).withColumn("event_ts", F.lit(T0).cast("timestamp_ntz"))
+    mentions, links = records.call_evidence(rows)
+    named = {}
+    for r in sorted(mentions.collect(), key=lambda r: (r.rec_no, r.pos)):
+        named.setdefault(r.rec_no, []).append((r.pos, r.value))
+    assert named == {1: [(0, "p1"), (1, "i1"), (2, "p2"), (3, "a1")], 2: [(0, "p1"), (1, "i1")],
+                     3: [(0, "p2"), (1, "a1")]}
+    got = sorted((r.rec_no, r.pos, r.a_value, r.b_value, r.link_type, r.confidence) for r in links.collect())
+    assert got == [(1, 0, "p1", "i1", "shared_imei", 0.95), (1, 1, "p1", "p2", "direct_communication", 0.9),
+                   (1, 2, "p1", "a1", "shared_ip_subnet", 0.85), (2, 0, "p1", "i1", "shared_imei", 0.95),
+                   (2, 1, "p1", "p1", "direct_communication", 0.9)]
+    for df in (mentions, links):
+        assert "array_distinct" not in _plan(df) and "lambda" not in _plan(df)
