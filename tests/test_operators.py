@@ -280,6 +280,27 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pairs_are_hashed_by_numbers(spark):
+    # Known types in both orders, a type outside the rule table, none at all, a case without id.
+    links = spark.createDataFrame([
+        (1, 4, 1, 2, "shared_imei"), (1, 2, 2, 1, "direct_communication"), (1, 3, 1, 2, "shared_imei"),
+        (1, 5, 1, 3, "co_occurrence"), (1, 6, 1, 3, "shared_ip_subnet"), (1, 7, 1, 3, "co_occurrence"),
+        (1, 8, 2, 3, "unheard"), (1, 9, 2, 3, "shared_mac"), (1, 10, 3, 4, None), (1, 11, 4, 4, "shared_imei"),
+        (None, 1, 5, 6, "unheard"), (None, 2, 5, 6, "shared_imei"), (2, None, 1, 2, "shared_mac")],
+        "case_id long, link_id long, entity_a_id long, entity_b_id long, link_type string").withColumn(
+        "confidence_score", F.lit(0.9))
+    edges = graph.consolidate(links)
+    got = {(r.case_id, r.src, r.dst): (r.confidence, r.link_type, r.link_types, r.link_count) for r in edges.collect()}
+    assert got == {
+        (1, 1, 2): (0.85, "shared_imei", ["direct_communication", "shared_imei"], 3),
+        (1, 1, 3): (0.748, "co_occurrence", ["co_occurrence", "shared_ip_subnet"], 3),
+        (1, 2, 3): (0.6, "shared_mac", ["shared_mac", "unheard"], 2), (1, 3, 4): (0.5, None, [], 1),
+        (None, 5, 6): (0.85, "shared_imei", ["shared_imei", "unheard"], 2), (2, 1, 2): (0.6, "shared_mac", ["shared_mac"], 1)}
+    listed = links.filter("link_type IN ('shared_imei', 'co_occurrence')")
+    assert "min(CASE WHEN" in _plan(graph.consolidate(listed))
+    assert "min(CASE WHEN" not in _plan(graph.consolidate(listed, enforce_rules=False))
+
+
 def test_call_rows_name_each_once(spark):
     rows = spark.createDataFrame([
         (1, 1, 1, "p1", "p2", "i1", "a1"), (1, 1, 2, "p1", "p1", "i1", None), (1, 1, 3, None, "p2", None, "a1"),
