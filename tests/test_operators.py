@@ -319,3 +319,16 @@ def test_call_rows_name_each_once(spark):
                    (2, 1, "p1", "p1", "direct_communication", 0.9)]
     for df in (mentions, links):
         assert "array_distinct" not in _plan(df) and "lambda" not in _plan(df)
+
+
+def test_sim_switch_joins_ends_once(spark):
+    nodes, links, _ = scene(
+        spark, [(1, "phone", 1), (2, "device_imei", 0), (3, "phone", 2), (4, "phone", 3), (5, "device_imei", 0),
+                (6, "ip_address", 0)],
+        [(2, 1, "shared_imei"), (2, 3, "shared_imei"), (2, 4, "shared_imei"), (5, 1, "shared_imei"),
+         (5, 3, "shared_imei"), (5, 4, "shared_imei"), (2, 5, "shared_imei"), (2, 6, "shared_imei")])
+    for mode in ("reference", "windowed"):
+        got = {r.entity_id: (r.imei, r.n_phones) for r in risk.sim_switch(nodes, links, mode).collect()}
+        assert got == {2: ("v2", 3), 5: ("v5", 3), 1: ("v2", 3), 3: ("v5", 3), 4: ("v5", 3)}
+    # The links are joined with the nodes in one place; what follows reads the written rows.
+    assert "shared_imei" not in _plan(risk.sim_switch(nodes, links))
