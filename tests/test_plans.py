@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from linkloom import vocab as V
-from linkloom.operators import clusters, custody, graph, numbering, records
+from linkloom.operators import clusters, custody, graph, numbering, records, resolve
 from linkloom.sources import artifacts, device_log
 
 
@@ -97,3 +99,27 @@ def test_verification_keeps_hashes_of_few_entries(spark, monkeypatch):
     assert (report.total_entries, report.broken_index, report.broken_entry_id, report.reason) == (60, 39, 200_000, V.BREAK_HASH)
     hashes = [c for c in written[0].columns if "hash" in c or c == "entry"]
     assert written[0].count() == 60 and written[0].filter(" OR ".join(f"{c} IS NOT NULL" for c in hashes)).count() <= 12
+
+
+def test_components_of_cases_in_parts(spark, monkeypatch):
+    """Cases that tasks read whole and cases split over several parts give the same components, with one written table
+    each of small cases and no round over their edges."""
+    rng = random.Random(5)
+    pairs = {(case, *sorted(rng.sample(range(1, 90), 2))) for case in (1, 2, 3) for _ in range(40 + 30 * case)}
+    pairs |= {(4, i, i + 1) for i in range(1, 60)} | {(None, 1, 2), (5, 7, 7)}
+    edges = spark.createDataFrame([*pairs, (1, *min(pairs - {(None, 1, 2)})[1:])], "case_id long, src long, dst long")
+    nodes = spark.createDataFrame([(c, i) for c in range(1, 6) for i in range(1, 95)], "case_id long, entity_id long")
+
+    def run():
+        return {(r.case_id, r.entity_id): r.root for r in clusters.components(nodes, edges).collect()}
+
+    want = {k: k[1] for k in run()}
+    for _ in range(90):
+        for c, a, b in pairs - {(None, 1, 2)}:
+            want[c, a] = want[c, b] = min(want[c, a], want[c, b])
+    rounds, plain = [], clusters._round
+    monkeypatch.setattr(clusters, "_round", lambda e: rounds.append(1) or plain(e))
+    assert run() == want and not rounds
+    for limit in (7, 80):
+        monkeypatch.setattr(clusters, "LOCAL_EDGES", limit)
+        assert run() == want and rounds
