@@ -123,3 +123,34 @@ def test_components_of_cases_in_parts(spark, monkeypatch):
     for limit in (7, 80):
         monkeypatch.setattr(clusters, "LOCAL_EDGES", limit)
         assert run() == want and rounds
+
+
+def test_first_appearances_are_hashed(spark, monkeypatch):
+    """The first appearance of a key is the least number, found without a sort; where the values do not fit into one
+    long or some are null it is the least structure, with the same rows."""
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 2, None]), rng.randrange(-3, 9) * 10**9, rng.randrange(-5, 5), rng.randrange(3), "account", rng.choice("abc"),
+             "account", rng.choice("cde"), rng.choice(["transaction", "shared_imei"]), rng.choice([0.9, 0.95])) for _ in range(400)]
+    schema = ("case_id long, evidence_file_id long, rec_no long, pos int, a_type string, a_value string, b_type string, "
+              "b_value string, link_type string, confidence double")
+
+    def both(rows):
+        links = spark.createDataFrame(rows, schema)
+        mentions = links.select("case_id", "evidence_file_id", "rec_no", "pos", F.col("a_type").alias("entity_type"),
+                                F.col("a_value").alias("value"), F.lit(None).cast("timestamp_ntz").alias("event_ts"))
+        return resolve.first_mentions(mentions), resolve.first_links(links), resolve.first_links(links, "evidence")
+
+    def shown(frames):
+        return [sorted(map(repr, f.collect())) for f in frames]
+
+    got = both(rows)
+    for f in got:
+        plan = f._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+    hashed = shown(got)
+    far = [(None, (1 << 62), -(1 << 62), 0, "account", "far", "account", "off", "transaction", 0.9)]
+    wide = [(1, None, 4, 0, "account", "far", "account", "off", "transaction", 0.9)]
+    for more in (far, wide):
+        odd = both(rows + more)
+        assert all("SortAggregate" in f._jdf.queryExecution().executedPlan().toString() for f in odd)
+        assert [[r for r in f if "far" not in r] for f in shown(odd)] == hashed
