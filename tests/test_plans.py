@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from linkloom import vocab as V
 from linkloom.operators import clusters, custody, graph, numbering, records, resolve
+from linkloom.plans import bindings
 from linkloom.sources import artifacts, device_log
 
 
@@ -154,3 +155,20 @@ def test_first_appearances_are_hashed(spark, monkeypatch):
         odd = both(rows + more)
         assert all("SortAggregate" in f._jdf.queryExecution().executedPlan().toString() for f in odd)
         assert [[r for r in f if "far" not in r] for f in shown(odd)] == hashed
+
+
+def test_many_small_files_share_tasks(spark, tmp_path):
+    """Small files are written by several tasks, and folders of many folders are listed by few tasks each."""
+    lines = spark.range(90).select((F.col("id") % 2).alias("case_id"), F.col("id").alias("part"), F.lit(0).alias("line_no"),
+                                   F.col("id").cast("string").alias("value"))
+    bindings.write_folder(lines, str(tmp_path), "email")
+    assert len({p.name[:10] for p in tmp_path.rglob("part-*.txt")}) > 8
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, context = spark.conf.get(setting), spark.sparkContext
+    context.setJobGroup("listing", "listing")
+    rows = artifacts.scan(spark, str(tmp_path))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= 4 * context.defaultParallelism and spark.conf.get(setting) == before
+    assert sorted(int(bytes(r.content)) for r in rows.select("content").collect()) == list(range(90))
