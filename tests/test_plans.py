@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from linkloom import vocab as V
-from linkloom.operators import clusters, custody, graph, numbering, records, resolve
+from linkloom.operators import clusters, custody, graph, numbering, records, resolve, risk
 from linkloom.plans import bindings
 from linkloom.sources import artifacts, device_log
 
@@ -172,3 +172,19 @@ def test_many_small_files_share_tasks(spark, tmp_path):
     tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
     assert tasks and max(tasks) <= 4 * context.defaultParallelism and spark.conf.get(setting) == before
     assert sorted(int(bytes(r.content)) for r in rows.select("content").collect()) == list(range(90))
+
+
+def test_hops_are_counted_without_a_join_of_all_ends(spark):
+    """Neighbours that are no node do not count, repeated nodes count as often; edges join only with such ends."""
+    pairs = [(1, 1, i) for i in range(2, 7)] + [(1, 2, i) for i in range(3, 6)] + [(None, 1, 9), (2, 1, None), (2, 1, 2), (2, 1, 3)]
+    edges = spark.createDataFrame(pairs, "case_id long, src long, dst long")
+    rows = [(1, i) for i in (1, 2, 3, 4, 4, 6)] + [(2, i) for i in (1, 2, 3, 3)] + [(None, 1)]
+    nodes = spark.createDataFrame(rows, "case_id long, entity_id long").withColumn("first_seen_at", F.lit(None).cast("timestamp_ntz"))
+    got = risk.velocity(nodes, edges)
+    assert "Join Inner" not in optimized(got)
+    both = [(c, a, b) for c, a, b in pairs] + [(c, b, a) for c, a, b in pairs]
+    want = {}
+    for c, a, b in both:
+        if c is not None and b is not None:
+            want[c, a] = want.get((c, a), 0) + rows.count((c, b))
+    assert {(r.case_id, r.entity_id): r.n_hops for r in got.collect()} == {k: n for k, n in want.items() if n >= 3}
